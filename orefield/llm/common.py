@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers of a local session may start in another folder; a cluster has the package installed.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -152,3 +156,9 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29))) * _ODD[i]
     return mixed(out)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more, before the next large shuffle is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

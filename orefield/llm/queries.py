@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .substring_dedup import substring_dedup
 from .topk_search import topk_search
 
 
@@ -28,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -39,6 +44,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op9_line_dedup": op9_line_dedup,
 }
