@@ -10,7 +10,9 @@ several origins; the new packing replaces the old one wherever it needs fewer bi
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,20 @@ CACHE = 700_000
 PART = 50_000
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class _Ids(dict):
-    """Token ids (little-endian unsigned 32-bit) of chunks between white space; bounded."""
+    """Token ids (little-endian unsigned 32-bit) of lower-case chunks between white space; bounded.
+
+    The tokenizer splits a chunk into runs of letters, single digits and runs of other signs. A chunk that
+    ends in punctuation is put together from its two parts, and a word of Latin letters goes straight to the
+    tokenizer's model, in its byte-level alphabet; everything else takes the tokenizer's whole way.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,9 +51,20 @@ class _Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.latin = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        base = chunk.rstrip(b".,;:!?")
+        if base and len(base) < len(chunk) and b"'" not in chunk and base[-4:].decode("utf-8", "ignore")[-1:].lower().isalnum():
+            ids = self[base] + self[chunk[len(base) :]]
+        else:
+            text = chunk.decode("utf-8", "replace")
+            if self.latin(text):
+                found = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = array("I", found).tobytes()
         if len(chunk) <= 48:
             if len(self) >= CACHE:
                 self.clear()
@@ -51,8 +76,8 @@ _LOADED: dict[str, _Ids] = {}
 
 
 def token_bytes(raw: bytes, ids: _Ids) -> bytes:
-    """Ids of a whole text. The tokenizer drops white space, so no token spans two chunks."""
-    return b"".join(map(ids.__getitem__, raw.split()))
+    """Ids of a whole text. The tokenizer drops white space, so no token spans two chunks, and ignores case except in special tokens."""
+    return b"".join(map(ids.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, carry: tuple[str, ...] = ()) -> DataFrame:
