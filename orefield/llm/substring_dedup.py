@@ -70,7 +70,7 @@ def _found_rows(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, src: np.ndarr
     if len(doc):
         first[1:] = (np.diff(doc) != 0) | (np.diff(tag) != 0) | (np.diff(src) != 0) | (np.diff(src_tag) != 0)
     at = np.flatnonzero(first)
-    ends = np.append(at[1:], len(doc)).astype(np.int64)
+    ends = np.append(at[1:], len(doc)).astype(np.int64)[: len(at)]
     both = np.stack([pos, src_pos - pos], 1).astype(np.int32)
     data = [np.ascontiguousarray(both[a:b].T).tobytes() for a, b in zip(at, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (doc, tag, src, src_tag)] + [pa.array(data, pa.binary())], names=["doc_id", "tag", "src_id", "src_tag", "data"])
