@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, freed, joined, slices, whole, window_hashes, word_hashes, words
+from .common import durable, freed, joined, mixed, slices, whole, window_hashes, word_hashes, words
 
 K = 13
 BLOCK = 8 << 20
 
-_FOUND = "doc_id bigint, tag bigint, src_id bigint, src_tag bigint, data binary"
+_FOUND = "target bigint, data binary"
 _PATHS = "doc_id bigint, tag bigint, start int, n int, src_id bigint, src_tag bigint, src_start int"
 
 
@@ -62,24 +62,24 @@ def _spread(spark: SparkSession, n: int) -> list[int]:
     return [have.get(p, p) for p in range(n)]
 
 
-def _found_rows(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, src: np.ndarray, src_tag: np.ndarray, src_pos: np.ndarray) -> pa.RecordBatch:
-    """A row for each pair of document and source: places of windows, and how far the source's place is from them."""
-    order = np.lexsort((pos, src_tag, src, tag, doc))
-    doc, tag, pos, src, src_tag, src_pos = (x[order] for x in (doc, tag, pos, src, src_tag, src_pos))
-    first = np.ones(len(doc), bool)
-    if len(doc):
-        first[1:] = (np.diff(doc) != 0) | (np.diff(tag) != 0) | (np.diff(src) != 0) | (np.diff(src_tag) != 0)
-    at = np.flatnonzero(first)
-    ends = np.append(at[1:], len(doc)).astype(np.int64)[: len(at)]
-    both = np.stack([pos, src_pos - pos], 1).astype(np.int32)
-    data = [np.ascontiguousarray(both[a:b].T).tobytes() for a, b in zip(at, ends, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (doc, tag, src, src_tag)] + [pa.array(data, pa.binary())], names=["doc_id", "tag", "src_id", "src_tag", "data"])
+def _bundles(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, src: np.ndarray, src_tag: np.ndarray, src_pos: np.ndarray, keys: list[int]) -> pa.RecordBatch:
+    """Found windows and their sources as one row for each partition of documents, however many documents it has."""
+    to = (mixed(doc.view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
+    order = np.lexsort((pos, tag, doc, to))
+    bounds = np.searchsorted(to[order], np.arange(len(keys) + 1))
+    targets, data = [], []
+    for key, a, b in zip(keys, bounds[:-1], bounds[1:], strict=True):
+        if a < b:
+            x = order[a:b]
+            targets.append(key)
+            data.append(squeezed(np.stack([np.diff(doc[x], prepend=0), tag[x], pos[x], src[x], src_tag[x], src_pos[x] - pos[x]]).astype(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(targets, pa.int64()), pa.array(data, pa.binary())], names=["target", "data"])
 
 
 def _sent(k: int, keys: list[int], seed: int):
     """Windows of each block: those met in a smaller document of the block are found; the others go to their buckets."""
     buckets = len(keys)
-    names = ["bucket", "doc_id", "tag", "src_id", "src_tag", "data", "ids", "tags", "counts", "gaps", "high", "low"]
+    names = ["bucket", "target", "data", "ids", "tags", "counts", "gaps", "high", "low"]
     binary = pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def _sent(k: int, keys: list[int], seed: int):
             head_of = order[np.flatnonzero(head)][np.cumsum(head) - 1]  # the group's first entry, for each entry in order
             later = ids[of[order]] > ids[of[head_of]]
             mine, theirs = order[later], head_of[later]
-            found = _found_rows(ids[of[mine]], tags[of[mine]], pos[mine], ids[of[theirs]], tags[of[theirs]], pos[theirs])
+            found = _bundles(ids[of[mine]], tags[of[mine]], pos[mine], ids[of[theirs]], tags[of[theirs]], pos[theirs], keys)
             rest = np.ones(len(h), bool)
             rest[mine] = False
             h, of, pos = h[rest], of[rest], pos[rest]
@@ -134,7 +134,7 @@ def _sent(k: int, keys: list[int], seed: int):
             for a in range(0, n, 16):
                 part = [r[a : a + 16] for r in rows]
                 c = len(part[0])
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), *(none(c, pa.int64()) for _ in range(4)), none(c, binary), *(pa.array(x, binary) for x in part[1:])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), none(c, pa.int64()), none(c, binary), *(pa.array(x, binary) for x in part[1:])], names=names)
 
     return run
 
@@ -142,68 +142,67 @@ def _sent(k: int, keys: list[int], seed: int):
 _SENT = f"bucket bigint, {_FOUND}, ids binary, tags binary, counts binary, gaps binary, high binary, low binary"
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(keys: list[int]):
     """Of each bucket: windows whose hash a smaller document also has, with that document's place."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        b = batch.column("bucket").to_numpy(zero_copy_only=False)
-        plain = batch.column("low").is_null().to_numpy(zero_copy_only=False)
-        if plain.any():
-            yield batch.filter(pa.array(plain)).select(["doc_id", "tag", "src_id", "src_tag", "data"])
-        for i in np.flatnonzero(~plain):
-            get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
-            counts = unsqueezed(get("counts"), np.int32)
-            ids = np.cumsum(unsqueezed(get("ids"), np.int64))
-            tags = unsqueezed(get("tags"), np.int64) if get("tags") else np.zeros(len(ids), np.int64)
-            gap = from_small_numbers(unsqueezed(get("gaps"), np.uint8))
-            total = np.cumsum(gap)
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-            base = total[starts] - gap[starts]
-            pos = (total - np.repeat(base, counts)).astype(np.int32)
-            h = np.frombuffer(get("high"), np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(get("low"), np.uint32)
-            held.setdefault(int(b[i]), []).append((h, np.repeat(ids, counts), np.repeat(tags, counts), pos))
-    for key in list(held):
-        h, ids, tags, pos = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        head = np.ones(len(s), bool)
-        head[1:] = s[1:] != s[:-1]
-        alone = head & np.append(head[1:], True)
-        order, head = order[~alone], head[~alone]
-        if not len(order):
-            continue
-        group = np.cumsum(head) - 1
-        order = order[np.lexsort((ids[order], group))]
-        lead = order[np.flatnonzero(head)][group]
-        later = ids[order] > ids[lead]
-        mine, theirs = order[later], lead[later]
-        yield _found_rows(ids[mine], tags[mine], pos[mine], ids[theirs], tags[theirs], pos[theirs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            b = batch.column("bucket").to_numpy(zero_copy_only=False)
+            plain = batch.column("low").is_null().to_numpy(zero_copy_only=False)
+            if plain.any():
+                yield batch.filter(pa.array(plain)).select(["target", "data"])
+            for i in np.flatnonzero(~plain):
+                get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+                counts = unsqueezed(get("counts"), np.int32)
+                ids = np.cumsum(unsqueezed(get("ids"), np.int64))
+                tags = unsqueezed(get("tags"), np.int64) if get("tags") else np.zeros(len(ids), np.int64)
+                gap = from_small_numbers(unsqueezed(get("gaps"), np.uint8))
+                total = np.cumsum(gap)
+                starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+                base = total[starts] - gap[starts]
+                pos = (total - np.repeat(base, counts)).astype(np.int32)
+                h = np.frombuffer(get("high"), np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(get("low"), np.uint32)
+                held.setdefault(int(b[i]), []).append((h, np.repeat(ids, counts), np.repeat(tags, counts), pos))
+        for key in list(held):
+            h, ids, tags, pos = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+            order = np.argsort(h, kind="stable")
+            s = h[order]
+            head = np.ones(len(s), bool)
+            head[1:] = s[1:] != s[:-1]
+            alone = head & np.append(head[1:], True)
+            order, head = order[~alone], head[~alone]
+            if not len(order):
+                continue
+            group = np.cumsum(head) - 1
+            order = order[np.lexsort((ids[order], group))]
+            lead = order[np.flatnonzero(head)][group]
+            later = ids[order] > ids[lead]
+            mine, theirs = order[later], lead[later]
+            yield _bundles(ids[mine], tags[mine], pos[mine], ids[theirs], tags[theirs], pos[theirs], keys)
+
+    return run
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compact each document's found windows: neighbours whose sources are neighbours too."""
-    for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for row in batch.to_pylist():
-            pos, diff, sid, stag = [], [], [], []
-            for x in row["found"]:
-                both = np.frombuffer(x["data"], np.int32)
-                m = len(both) // 2
-                pos.append(both[:m])
-                diff.append(both[m:])
-                sid.append(np.full(m, x["src_id"], np.int64))
-                stag.append(np.full(m, x["src_tag"], np.int64))
-            p, d, s, t = (np.concatenate(v) for v in (pos, diff, sid, stag))
-            _, o = np.unique(p, return_index=True)
-            p, d, s, t = p[o], d[o], s[o], t[o]
-            cut = np.ones(len(p), bool)
-            cut[1:] = (np.diff(p) != 1) | (np.diff(d) != 0) | (np.diff(s) != 0) | (np.diff(t) != 0)
-            at = np.flatnonzero(cut)
-            n = np.diff(np.append(at, len(p)))
-            for o_, v in zip(out, ([row["doc_id"]] * len(at), [row["tag"]] * len(at), p[at], n, s[at], t[at], (p + d)[at]), strict=True):
-                o_.extend(v)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x), t) for x, t in zip(out, types, strict=True)], names=["doc_id", "tag", "start", "n", "src_id", "src_tag", "src_start"])
+    """Compact the found windows of a partition's documents: neighbours whose sources are neighbours too."""
+    parts = [unsqueezed(x, np.int64).reshape(6, -1) for batch in batches for x in batch.column("data").to_pylist()]
+    if not parts:
+        return
+    doc, tag, p, s, t, d = np.concatenate([np.vstack([np.cumsum(x[0]), x[1:]]) for x in parts], axis=1)
+    o = np.lexsort((p, tag, doc))
+    doc, tag, p, s, t, d = (x[o] for x in (doc, tag, p, s, t, d))
+    new = np.ones(len(p), bool)
+    new[1:] = (np.diff(p) != 0) | (np.diff(tag) != 0) | (np.diff(doc) != 0)
+    doc, tag, p, s, t, d = (x[new] for x in (doc, tag, p, s, t, d))
+    cut = np.ones(len(p), bool)
+    cut[1:] = (np.diff(p) != 1) | (np.diff(d) != 0) | (np.diff(s) != 0) | (np.diff(t) != 0) | (np.diff(tag) != 0) | (np.diff(doc) != 0)
+    at = np.flatnonzero(cut)
+    n = np.diff(np.append(at, len(p)))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    out = pa.RecordBatch.from_arrays([pa.array(x, ty, safe=True) for x, ty in zip((doc[at], tag[at], p[at], n, s[at], t[at], (p + d)[at]), types, strict=True)], names=["doc_id", "tag", "start", "n", "src_id", "src_tag", "src_start"])
+    for i in range(0, out.num_rows, 50_000):
+        yield out.slice(i, 50_000)
 
 
 def repeated_paths(texts: DataFrame, k: int, seed: int) -> DataFrame:
@@ -212,9 +211,8 @@ def repeated_paths(texts: DataFrame, k: int, seed: int) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _spread(spark, n)
     sent = texts.mapInArrow(_sent(k, keys, seed), _SENT).repartition(n, "bucket")
-    found = sent.mapInArrow(_met, _FOUND)
-    by_doc = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("src_id", "src_tag", "data")).alias("found"))
-    return durable(by_doc.mapInArrow(_paths, _PATHS))
+    found = sent.mapInArrow(_met(keys), _FOUND).repartition(n, "target")
+    return durable(found.mapInArrow(_paths, _PATHS))
 
 
 def _judged(k: int):
