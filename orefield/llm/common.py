@@ -23,19 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the checkpoint folder that driver and executors share.
-
-    The folder is the session's own (`spark.checkpoint.dir`); only where none is set, as in tests, a
-    temporary one is made. Lost executors re-read it instead of re-running what lies upstream.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: the session's own, or, only where it names none, as in tests, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orefield-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder. Lost executors re-read it instead of re-running what lies upstream."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, *without: str) -> Column:
+    """All columns of df but some as one struct, so that no name among them can meet a name of the operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without))
+
+
 def whole(text: str = "text") -> Column:
     """A text column; null counts as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -374,13 +374,16 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     named text is replaced.
     """
     names = [c for c in pages.columns if c not in (column, "text")]
+    page = "page"
+    while page in names:
+        page += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_page"):
-            text = pa.array([html_text(x) for x in batch.column("_page").to_pylist()], pa.string())
+        for batch in slices(batches, page):
+            text = pa.array([html_text(x) for x in batch.column(page).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text], names=[*names, "text"])
 
     schema = type(pages.schema)()
     for c in names:
         schema = schema.add(c, pages.schema[c].dataType, True)
-    return pages.select(*names, whole(column).alias("_page")).mapInArrow(run, schema.add("text", "string"))
+    return pages.select(*(F.col(f"`{c}`") for c in names), whole(column).alias(page)).mapInArrow(run, schema.add("text", "string"))

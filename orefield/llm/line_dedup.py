@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, durable, whole
+from .common import BLANKS, LOWER, UPPER, durable, packed, whole
 
 
 def line_key(line: Column) -> Column:
@@ -13,9 +13,10 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
-def _hash(key: Column) -> Column:
-    """128 bits: at 10^12 lines two of 64 bits would meet."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
+def _hashed(line: Column, place: Column, min_points: int) -> Column:
+    """128 bits of the key (at 10^12 lines two of 64 bits would meet) and the line's place; a is null for keys under min_points."""
+    key = line_key(line)
+    return F.struct(F.when(F.length(key) >= min_points, F.xxhash64(key)).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"), place.alias("place"))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> DataFrame:
@@ -27,35 +28,32 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> Data
     each return their own result. Further columns are returned as they are, except those named kept_text,
     n_lines, n_dropped, which are replaced.
 
-    The hashes of all lines are written once, 16 bytes a line. Counting takes one row per document and
+    The hashes of all lines are written once, sorted within each document, so that repeats stand side by side
+    and very long documents cost no more for each line than short ones. Counting takes one row per document and
     distinct line and combines before the shuffle; the dropped hashes then find their lines by an equi-join
-    whose hot keys (a line in a third of all documents) are only rows of three numbers and can be split;
+    whose hot keys (a line in a third of all documents) are only rows of a few numbers and can be split;
     the texts themselves are shuffled once, by row key, with the places to drop.
     """
     # Rows that agree in doc_id and text share their fate, so this pair is the key of a row.
-    row = [F.col("doc_id").alias("k_id"), F.xxhash64(whole()).alias("k_text"), F.octet_length(whole()).alias("k_size")]
+    text = whole()
+    row = [F.col("doc_id").alias("k_id"), F.xxhash64(text).alias("k_text"), F.octet_length(text).alias("k_size")]
     key = ["k_id", "k_text", "k_size"]
-    hashes = F.transform(F.split(whole(), "\n", -1), lambda x: _hash_or_null(line_key(x), min_points))
-    lines = durable(docs.select(*row, hashes.alias("hashes")))
-    once = lines.select(F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null")
-    common = once.groupBy("h").count().filter(F.col("count") >= min_docs).select("h")
+    hashes = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: _hashed(x, i, min_points)), lambda x: x["a"].isNotNull())
+    lines = durable(docs.select(*row, F.sort_array(hashes).alias("hashes")))
+    before = lambda i, c: F.get(F.col("hashes"), i - 1)[c]
+    once = lines.select(F.inline(F.filter("hashes", lambda x, i: (i == 0) | (before(i, "a") != x["a"]) | (before(i, "b") != x["b"]))))
+    common = once.groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b")
     places = (
-        lines.dropDuplicates(key)
-        .select(*key, F.posexplode("hashes").alias("place", "h"))
-        .filter("h is not null")
-        .join(common, "h")
+        lines.select(*key, F.inline("hashes"))
+        .join(common, ["a", "b"])
         .groupBy(*key)
-        .agg(F.collect_list("place").alias("places"))
+        .agg(F.collect_set("place").alias("places"))
         .select(F.col("k_id").alias("p_id"), F.col("k_text").alias("p_text"), F.col("k_size").alias("p_size"), "places")
     )
-    names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    full = docs.select(*names, *row)
+    full = docs.select(packed(docs, "kept_text", "n_lines", "n_dropped").alias("doc"), *row)
     met = full.join(places, full.k_id.eqNullSafe(places.p_id) & (full.k_text == places.p_text) & (full.k_size == places.p_size), "left")
-    split = F.split(whole(), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("places"))
-    kept = F.when(F.col("places").isNull(), whole()).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
-    return met.select(*names, kept.alias("kept_text"), F.size(split).cast("bigint").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_dropped"))
-
-
-def _hash_or_null(key: Column, min_points: int) -> Column:
-    return F.when(F.length(key) >= min_points, _hash(key))
+    # A projection of its own: a text is split once, not once for each line that is read from it.
+    split = met.select("doc", "places", F.split(whole("doc.text"), "\n", -1).alias("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
+    kept = F.when(F.col("places").isNull(), whole("doc.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return split.select("doc.*", kept.alias("kept_text"), F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_dropped"))

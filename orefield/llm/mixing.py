@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, packed
 
 BLOCK = 64
 RESOLUTION = 1000
@@ -82,9 +82,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     ValueError. An empty table stays empty; columns named mix_block or mix_place are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("mix_block", "mix_place")
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    counts = docs.groupBy(source.alias("s")).count().orderBy("s").limit(MAX_SOURCES + 1).collect()
+    rows = docs.select(packed(docs, "mix_block", "mix_place").alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.xxhash64("doc_id", F.lit("mix")).alias("order"))
+    counts = rows.groupBy("s").count().orderBy("s").limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     names, sizes = [r["s"] for r in counts], [r["count"] for r in counts]
@@ -94,21 +93,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     else:
         target = [n**temperature for n in sizes]
     plan = phases([-(-n // block) for n in sizes], quotas(target)) if names else []
-    table = spark.createDataFrame(
+    times = spark.createDataFrame(
         [(names[i], first, n, base, size, times) for i, first, n, base, size, times in plan], "s string, first bigint, n bigint, base bigint, size bigint, times array<bigint>"
     )
     # Number the documents of each source without bringing a source together: rows are numbered within
     # buckets of bounded size, and buckets are offset by the rows in those before.
     buckets = spark.createDataFrame([(s, max(1, -(-n // _BUCKET))) for s, n in zip(names, sizes, strict=True)], "s string, buckets bigint")
-    order = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    rows = docs.withColumn("_s", source).join(F.broadcast(buckets), F.col("_s") == F.col("s")).drop("s")
-    rows = rows.withColumn("_bucket", F.pmod(order, F.col("buckets"))).withColumn("_order", order).drop("buckets")
-    before = W.partitionBy("_s").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = durable(rows.groupBy("_s", "_bucket").agg(F.count("*").alias("c")).withColumn("_start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
-    numbered = rows.withColumn("_no", F.row_number().over(W.partitionBy("_s", "_bucket").orderBy("_order", "doc_id"))).join(starts, ["_s", "_bucket"])
-    numbered = numbered.withColumn("_no", F.col("_no") - 1 + F.col("_start")).withColumn("_j", F.floor(F.col("_no") / block))
+    dealt = rows.join(F.broadcast(buckets), "s").withColumn("bucket", F.pmod("order", "buckets")).drop("buckets")
+    before = W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = durable(dealt.groupBy("s", "bucket").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
+    numbered = dealt.withColumn("no", F.row_number().over(W.partitionBy("s", "bucket").orderBy("order", "doc.doc_id"))).join(starts, ["s", "bucket"])
+    numbered = numbered.withColumn("no", F.col("no") - 1 + F.col("start")).withColumn("j", F.floor(F.col("no") / block))
     # At most one row for each source and phase: under a million of bounded size.
-    met = numbered.join(F.broadcast(table), (F.col("_s") == F.col("s")) & (F.col("_j") >= F.col("first")) & (F.col("_j") < F.col("first") + F.col("n")))
-    k = F.col("_j") - F.col("first")
+    met = numbered.join(F.broadcast(times.withColumnRenamed("s", "t")), (F.col("s") == F.col("t")) & (F.col("j") >= F.col("first")) & (F.col("j") < F.col("first") + F.col("n")))
+    k = F.col("j") - F.col("first")
     time = F.col("base") + F.floor(k / F.size("times")) * F.col("size") + F.get("times", (k % F.size("times")).cast("int"))
-    return met.withColumn("mix_block", time).withColumn("mix_place", F.col("mix_block") * block + F.col("_no") % block).select(*docs.columns, "mix_block", "mix_place")
+    return met.select("doc", "no", time.alias("mix_block")).select("doc.*", "mix_block", (F.col("mix_block") * block + F.col("no") % block).alias("mix_place"))

@@ -260,7 +260,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     model = character_model(docs)
     ids, w, b = trained(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), model, sample)
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    rest = [c for c in names if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = _Features(Restorer(model), ids)
@@ -269,6 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
             score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
-    schema = reduce(lambda s, f: s.add(f.name, f.dataType, True), docs.select(*names).schema, type(docs.schema)()).add("score", "double")
-    out = docs.select(*rest, F.col("text").cast("string").alias("text")).select(*names).mapInArrow(run, schema)
+    source = docs.select(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
+    schema = reduce(lambda s, f: s.add(f.name, f.dataType, True), source.schema, type(docs.schema)()).add("score", "double")
+    out = source.mapInArrow(run, schema)
     return out.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
