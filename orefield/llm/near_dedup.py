@@ -4,12 +4,13 @@ A document is the set of its word shingles, as 64-bit hashes. Each of several in
 document from node to node: a node's own hash function picks the document's smallest shingle, and node and
 shingle name the child. Similar sets choose the same child with the probability of their Jaccard
 similarity. A node with few documents is a leaf; larger ones branch again, and what is still large at the
-last level (documents that are alike) is handled in blocks. Documents of a leaf are compared
-exhaustively by size and sketch, and links are confirmed on the full sets.
+last level (documents that are alike) is handled in blocks. Documents of a leaf are compared exhaustively:
+sizes and sketches tell which members have any hope, and full sets decide, by one product of incidence
+matrices for a block.
 
-Only connections matter, so a leaf is compared twice: first each member with the leaf's pivots (members
-unlike all pivots before them), which joins groups of copies by one link per copy; then all pairs whose
-ends are not connected yet. No group is ever written out as all its pairs.
+Only connections matter, so a block gives the edges of a spanning forest, fewer than it has members, and never
+all its pairs. A few trees go first and connect most groups; in all other leaves only members of different
+components are compared.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import durable, folded, freed, joined, mixed, slices, window_hashes
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-DEPTH, LEAF, BINS = 4, 200, 128
+DEPTH, LEAF, BINS = 4, 200, 256
+FIRST = 2  # trees whose leaves are compared first, so that the other trees meet groups of copies already connected
 
 
 def trees_for(similarity: float, recall: float, depth: int = DEPTH) -> int:
@@ -92,16 +94,16 @@ def _profiles(k: int, trees: int, depth: int):
 
 
 def _leaves(sets: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
-    """node, vid, count: the members of the leaves with two members at least."""
-    paths = sets.select("vid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * depth + 1, depth))).alias("p"))
+    """tree, node, vid, count: the members of the leaves with two members at least."""
+    paths = sets.select("vid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * depth + 1, depth))).alias("tree", "p"))
     out, big = [], None
     for level in range(depth):
-        rows = paths.select("vid", F.col("p")[level].alias("node"), *([F.col("p")[level - 1].alias("up")] if level else []))
+        rows = paths.select("tree", "vid", F.col("p")[level].alias("node"), *([F.col("p")[level - 1].alias("up")] if level else []))
         if big is not None:
             rows = rows.join(big.select(F.col("node").alias("up")), "up", "left_semi").drop("up")
         counts = durable(rows.groupBy("node").count().filter("count > 1"))
         big = counts.filter(F.col("count") > leaf)
-        out.append(rows.join(counts if level == depth - 1 else counts.filter(F.col("count") <= leaf), "node").select("node", "vid", "count"))
+        out.append(rows.join(counts if level == depth - 1 else counts.filter(F.col("count") <= leaf), "node").select("tree", "node", "vid", "count"))
         if level == depth - 1 or big.isEmpty():
             break
     members = out[0]
@@ -111,14 +113,14 @@ def _leaves(sets: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
 
 
 def _alike(n: np.ndarray, sketch: np.ndarray, n1: int, sketch1: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets may be similar enough to one: by size, and by the share of equal bins (five standard deviations of leeway)."""
+    """Which sets may be similar enough to one: by size, and by the share of equal bins (4.5 standard deviations of leeway)."""
     ok = (100 * np.minimum(n, n1) >= percent * np.maximum(n, n1)) & (n > 0)
     at = np.flatnonzero(ok)
     s = sketch[at]
     both = (s != 0) & (sketch1 != 0)
     shared, equal = both.sum(1), ((s == sketch1) & both).sum(1)
     p = percent / 100
-    ok[at] = equal >= shared * p - 5 * np.sqrt(np.maximum(shared, 1) * p * (1 - p))
+    ok[at] = equal >= shared * p - 4.5 * np.sqrt(np.maximum(shared, 1) * p * (1 - p))
     return ok
 
 
@@ -154,116 +156,122 @@ def _sketches(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
 
 
-def _emitted(a: list, b: list, node: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, node)], names=["a", "b", "node"])
+_BLOCK = ["node", "kind", "i", "j"]
 
 
-def _stars(percent: int):
-    """Each member with the first pivot that it may be like; members like none become pivots (node is set, b is null)."""
+def _hopeful(percent: int):
+    """Of each block: the members that may be alike to a member of another component, by size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        for t in _Groups(batches, ["node", "sub"]):
-            if t.num_rows == 1 and not t.column("up")[0].as_py():
+        for t in _Groups(batches, _BLOCK):
+            comp = t.column("comp").to_numpy()
+            if (comp == comp[0]).all():
                 continue
-            vid, n, s = t.column("vid").to_numpy(), t.column("n").to_numpy(), _sketches(t)
-            node, up = t.column("node")[0].as_py(), t.column("up")[0].as_py()
-            open_ = np.arange(len(vid))
-            while len(open_):
-                p, rest = open_[0], open_[1:]
-                like = _alike(n[rest], s[rest], n[p], s[p], percent)
-                mates = vid[rest[like]].tolist()
-                for o, v in zip(out, ([int(vid[p])] * len(mates), mates, [None] * len(mates)), strict=True):
-                    o.extend(v)
-                if up:
-                    for o, v in zip(out, (int(vid[p]), None, node), strict=True):
-                        o.append(v)
-                open_ = rest[~like]
-            if len(out[0]) > 50_000:
-                yield _emitted(*out)
-                out = ([], [], [])
-        yield _emitted(*out)
+            n, s = t.column("n").to_numpy(), _sketches(t)
+            some = np.zeros(len(n), bool)
+            for p in range(len(n) - 1):
+                rest = p + 1 + np.flatnonzero(comp[p + 1 :] != comp[p])
+                mates = rest[_alike(n[rest], s[rest], n[p], s[p], percent)] if len(rest) else rest
+                some[mates] = True
+                some[p] |= len(mates) > 0
+            if some.any():
+                yield from t.select([*_BLOCK, "vid"]).filter(pa.array(some)).combine_chunks().to_batches()
 
     return run
 
 
-def _across(percent: int):
-    """Pairs of a block that may be alike and are in different components."""
+def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """|A & B| of all pairs of sets, by products of incidence matrices over the elements that two sets have at least.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        for t in _Groups(batches, ["node", "kind", "i", "j"]):
-            comp = t.column("comp").to_numpy()
-            if (comp == comp[0]).all():
-                continue
-            vid, n, s = t.column("vid").to_numpy(), t.column("n").to_numpy(), _sketches(t)
-            for p in range(len(vid) - 1):
-                rest = p + 1 + np.flatnonzero(comp[p + 1 :] != comp[p])
-                mates = vid[rest[_alike(n[rest], s[rest], n[p], s[p], percent)]] if len(rest) else rest
-                for o, v in zip(out, (np.minimum(mates, vid[p]).tolist(), np.maximum(mates, vid[p]).tolist(), [None] * len(mates)), strict=True):
-                    o.extend(v)
-            if len(out[0]) > 50_000:
-                yield _emitted(*out)
-                out = ([], [], [])
-        yield _emitted(*out)
+    Elements are taken by ranges of their hash, so that memory stays bounded for very large sets.
+    """
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    x, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(a) for a in sets])
+    ranges = -(-len(x) // (1 << 21))
+    part = (x >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
+    for r in range(ranges):
+        here = np.flatnonzero(part == r) if ranges > 1 else slice(None)
+        _, at, count = np.unique(x[here], return_inverse=True, return_counts=True)
+        place = np.full(len(count), -1)
+        place[count > 1] = np.arange((count > 1).sum())
+        at, row = place[at], of[here]
+        row, at = row[at >= 0], at[at >= 0]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        for low in range(0, int((count > 1).sum()), columns):
+            a, b = np.searchsorted(at, [low, low + columns])
+            m = np.zeros((len(sets), columns), np.float32)
+            m[row[a:b], at[a:b] - low] = 1
+            out += (m @ m.T).astype(np.int64)
+    return out
 
-    return run
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a graph, given as a symmetric matrix."""
+    out, fresh = [], np.ones(len(linked), bool)
+    for root in range(len(linked)):
+        if not fresh[root]:
+            continue
+        fresh[root], queue = False, [root]
+        while queue:
+            at = queue.pop()
+            found = np.flatnonzero(linked[at] & fresh).tolist()
+            fresh[found] = False
+            out += [(at, f) for f in found]
+            queue += found
+    return out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _exact(k: int, percent: int):
+    """Links of each block that connect all its members which links connect, from the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
-        for batch in batches:
-            last, have, good = None, None, []
-            for a, za, na, zb, nb in zip(*(batch.column(c).to_pylist() for c in ("a", "z_a", "size_a", "z_b", "size_b")), strict=True):
-                text = [codec.decompress(za, na, asbytes=True)] * (a != last) + [codec.decompress(zb, nb, asbytes=True)]
-                got = shingle_sets(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]), k)
-                last, have = a, got[0] if a != last else have
-                shared = len(np.intersect1d(have, got[-1], assume_unique=True))
-                good.append(100 * shared >= percent * (len(have) + len(got[-1]) - shared))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield kept.select(["a", "b"])
-
-    side = lambda s: sets.select(F.col("vid").alias(s), F.col("size").alias(f"size_{s}"), F.col("z").alias(f"z_{s}"))
-    return durable(pairs.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a").select("a", "b", "z_a", "size_a", "z_b", "size_b").mapInArrow(run, "a bigint, b bigint"))
-
-
-def _star_pairs(members: DataFrame, sets: DataFrame, leaf: int, percent: int) -> DataFrame:
-    """Candidate links that connect each leaf's like members; large leaves in blocks, whose pivots meet again."""
-    emitted, rows, parts = [], members, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = None
-    for turn in range(64):
-        blocks = F.ceil(F.col("count") / leaf)
-        dealt = rows.withColumn("sub", F.pmod(F.xxhash64("vid", F.lit(turn)), blocks)).withColumn("up", blocks > 1).join(sets.select("vid", "n", "sketch"), "vid")
-        dealt = dealt.select("node", "sub", "up", "vid", "n", "sketch").repartition(parts, "node", "sub").sortWithinPartitions("node", "sub", "vid")
-        out = durable(dealt.mapInArrow(_stars(percent), "a bigint, b bigint, node bigint"))
-        emitted.append(out.filter("b is not null").select("a", "b"))
-        pivots = out.filter("b is null").select("node", F.col("a").alias("vid"))
-        n = pivots.count()
-        if not n or (total is not None and n > total * 0.7):
-            break
-        total = n
-        rows = pivots.join(pivots.groupBy("node").count().filter("count > 1"), "node")
-    pairs = emitted[0]
-    for x in emitted[1:]:
-        pairs = pairs.unionByName(x)
-    return pairs
+        a, b = [], []
+        for t in _Groups(batches, _BLOCK):
+            vid = t.column("vid").to_pylist()
+            texts = [codec.decompress(z, n, asbytes=True) for z, n in zip(t.column("z").to_pylist(), t.column("size").to_pylist(), strict=True)]
+            sets = [shingle_sets(np.frombuffer(x, np.uint8), np.array([0, len(x)]), k)[0] for x in texts]
+            n, shared = np.array([len(x) for x in sets]), shared_counts(sets)
+            linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+            for i, j in forest(linked):
+                a.append(vid[i])
+                b.append(vid[j])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def _linked(blocks: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect what links connect within each block (node, kind, i, j) of members (vid, comp).
+
+    Sketches go to all blocks of several components; full texts only to blocks, and for members, with some hope.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK, "vid")
+    schema = "node bigint, kind string, i bigint, j bigint, vid bigint"
+    some = durable(dealt(blocks.select(*_BLOCK, "vid", "comp").join(sets.select("vid", "n", "sketch"), "vid")).mapInArrow(_hopeful(percent), schema))
+    freed(sets.sparkSession)
+    return durable(dealt(some.join(sets.select("vid", "size", "z"), "vid")).mapInArrow(_exact(k, percent), "a bigint, b bigint"))
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, comps: DataFrame, leaf: int, percent: int) -> DataFrame:
-    """Candidate links between members of a leaf that no link connects yet.
+def _first_blocks(members: DataFrame, leaf: int) -> DataFrame:
+    """Each leaf as a block; a large one dealt at random into several."""
+    i = F.pmod(F.xxhash64("vid", "node"), F.ceil(F.col("count") / leaf))
+    return members.select("node", F.lit("s").alias("kind"), i.alias("i"), F.lit(0).cast("bigint").alias("j"), "vid", F.col("vid").alias("comp"))
+
+
+def _open_blocks(members: DataFrame, comps: DataFrame, leaf: int) -> DataFrame:
+    """Blocks in which all members of a leaf meet that no link connects yet.
 
     A leaf up to `leaf` members is one block. In a larger one the members outside its largest component meet
     each other and all others, block by block; members of the largest component don't meet each other.
     """
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = durable(members.join(comps, "vid", "left").select("node", "vid", "count", F.coalesce("comp", "vid").alias("comp")))
     zero = F.lit(0).cast("bigint")
     small = rows.filter(F.col("count") <= leaf)
     open_ = small.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("node")
-    small = small.join(open_, "node").select("node", "vid", "comp", F.lit("s").alias("kind"), zero.alias("i"), zero.alias("j"))
+    small = small.join(open_, "node").select("node", F.lit("s").alias("kind"), zero.alias("i"), zero.alias("j"), "vid", "comp")
     large = rows.filter(F.col("count") > leaf)
     sizes = large.groupBy("node", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c")).select("node", F.col("m.comp").alias("main"), F.ceil(F.col("m.c") / leaf).alias("inner"), F.ceil((F.col("c") - F.col("m.c")) / leaf).alias("outer")).filter("outer > 0")
@@ -275,9 +283,8 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comps: DataFrame, leaf: int
         F.col("out"),
         F.concat(F.transform(upto(F.col("inner")), lambda j: block("g", F.col("sub"), j)), F.transform(upto(F.col("outer")), lambda j: block("o", F.least("sub", j), F.greatest("sub", j)))),
     ).otherwise(F.transform(upto(F.col("outer")), lambda i: block("g", i, F.col("sub"))))
-    large = dealt.select("node", "vid", "comp", F.explode(places).alias("b")).select("node", "vid", "comp", "b.kind", "b.i", "b.j")
-    both = small.unionByName(large).join(sets.select("vid", "n", "sketch"), "vid").repartition(parts, "node", "kind", "i", "j").sortWithinPartitions("node", "kind", "i", "j", "vid")
-    return both.mapInArrow(_across(percent), "a bigint, b bigint, node bigint").select("a", "b")
+    large = dealt.select("node", "vid", "comp", F.explode(places).alias("b")).select("node", "b.kind", "b.i", "b.j", "vid", "comp")
+    return small.unionByName(large)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = 0.999, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
@@ -302,11 +309,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     vertex = durable(known.groupBy(*key).agg(F.min("row").alias("vid"), F.min("doc_id").alias("low")))
     sets = known.join(vertex.select("vid"), F.col("row") == F.col("vid"), "left_semi").withColumnRenamed("row", "vid")
     members = _leaves(sets, trees, depth, leaf)
-    links = _confirmed(_star_pairs(members, sets, leaf, percent), sets, shingle, percent)
+    comps = components(_linked(_first_blocks(members.filter(F.col("tree") < FIRST), leaf), sets, shingle, percent))
     freed(docs.sparkSession)
-    comps = components(links)
-    more = _confirmed(_open_pairs(members, sets, comps, leaf, percent), sets, shingle, percent)
-    comps = components(links.unionByName(more))
+    more = _linked(_open_blocks(members, comps, leaf), sets, shingle, percent)
+    comps = components(comps.select(F.col("vid").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = vertex.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     classes = named.join(names, "comp").select(*key, "component_id")
