@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.llm.common import packed, shared_folder, table
@@ -26,9 +26,14 @@ from orefield.llm.toxicity import toxicity
 REJECT = 0.5
 
 
+def named(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under REJECT. Null and empty texts stay."""
-    return toxicity(docs, table(spark, sf_dir, "labels"), threshold=REJECT).filter("predicted = 0").select(*docs.columns)
+    return toxicity(docs, table(spark, sf_dir, "labels"), threshold=REJECT).filter("predicted = 0").select(*named(docs))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix: sources weighed by the square root of their sizes."""
-    return mix(docs).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*docs.columns)
+    return mix(docs).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*named(docs))
 
 
 def packed_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

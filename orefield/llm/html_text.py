@@ -374,16 +374,15 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     named text is replaced.
     """
     names = [c for c in pages.columns if c not in (column, "text")]
-    page = "page"
-    while page in names:
-        page += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, page):
-            text = pa.array([html_text(x) for x in batch.column(page).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text], names=[*names, "text"])
+        for batch in slices(batches, "page"):
+            text = pa.array([html_text(x) for x in batch.column("page").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*batch.schema.names[:-1], "text"])
 
+    # Columns go through Arrow by number: their names may hold anything.
+    source = pages.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), whole(column).alias("page"))
     schema = type(pages.schema)()
-    for c in names:
-        schema = schema.add(c, pages.schema[c].dataType, True)
-    return pages.select(*(F.col(f"`{c}`") for c in names), whole(column).alias(page)).mapInArrow(run, schema.add("text", "string"))
+    for f in source.schema.fields[:-1]:
+        schema = schema.add(f.name, f.dataType, True)
+    return source.mapInArrow(run, schema.add("text", "string")).toDF(*names, "text")

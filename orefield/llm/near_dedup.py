@@ -181,7 +181,7 @@ def _hopeful(percent: int):
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """|A & B| of all pairs of sets, by products of incidence matrices over the elements that two sets have at least.
+    """|A & B| of all pairs of different sets, by products of incidence matrices over the elements that two sets have at least.
 
     Elements are taken by ranges of their hash, so that memory stays bounded for very large sets.
     """

@@ -4,8 +4,8 @@ Suffixes are kept at content-selected places only: word k-mers whose hash is sma
 k-mers, so that equal passages of k + w - 1 words or more keep equal suffixes wherever they stand. Suffixes
 whose first k words start in one document alone go. The others are sorted (by hashes of their first 12, next
 4, next 4, .. words: any order of blocks serves, as neighbours share the longest beginnings), and once more
-by the words to their left. Neighbours from different documents seed matches, which are extended left and
-right word by word on the two texts; matches of `min_words` or more are returned.
+by the words to their left. Each suffix and the nearest ones of a smaller document on either side (nothing
+further away shares more) seed matches, which are extended left and right word by word on the two texts; matches of `min_words` or more are returned.
 """
 
 from __future__ import annotations
@@ -107,60 +107,83 @@ def _ranged(h: np.ndarray, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     return mixed(out + (b - a).astype(np.uint64))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted partition: each suffix with the nearest ones of other documents that start with the same k words.
-
-    The partition's first and last suffixes are also given alone (b is null), to be met across partitions.
+def nearest_smaller(doc: list[int], gram: list[int]) -> tuple[list[int], list[int]]:
+    """For each suffix the nearest one before and after it of the same gram and a smaller document; -1 if none."""
+    n, stack = len(doc), []
+    left, right, again = [-1] * n, [-1] * n, []
+    for i in range(n):
+        if i and gram[i] != gram[i - 1]:
+            stack = []
+        d = doc[i]
+        while stack and doc[stack[-1]] >= d:
+            j = stack.pop()
+            if doc[j] > d:
+                right[j] = i
+            else:
+                again.append((j, i))  # of the same document: what comes after i holds for j too
+        if stack:
+            left[i] = stack[-1]
+        stack.append(i)
+    for j, i in reversed(again):
+        right[j] = right[i]
+    return left, right
+
+
+def _borders(doc: np.ndarray, gram: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
+    """(kind, place) of the suffixes that may have partners in other partitions, in order.
+
+    Kind 1: of the first gram, those with no smaller document before them; 2: of the last gram, those with none
+    after them. Of suffixes with equal words throughout, those of the first, the smallest, document stand for all.
     """
-    held: pa.Table | None = None
+    first, last = np.flatnonzero(gram == gram[0]), np.flatnonzero(gram == gram[-1])
+    before = first[doc[first] == np.minimum.accumulate(doc[first])]
+    after = last[doc[last] == np.minimum.accumulate(doc[last][::-1])[::-1]]
+    run = np.concatenate([[True], key[after][1:] != key[after][:-1]])
+    after = after[doc[after] == doc[after][run][np.cumsum(run) - 1]]
+    return [(1, int(i)) for i in before] + [(2, int(i)) for i in after]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition: each suffix (a) with the nearest of a smaller document (b) on either side, and its borders (b is null)."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).combine_chunks()
     kept = ["row", "doc_id", "place", "gram"]
-    edge: dict | None = None
-
-    def row_of(t: pa.Table, i: int, kind: int) -> dict:
-        return {c: t.column(c)[i].as_py() for c in kept} | {"kind": kind}
-
-    def rows(a: pa.Table, b: pa.Table | None, kind: list | None = None) -> pa.RecordBatch:
-        n = a.num_rows
-        cols = [a.column(c).combine_chunks() for c in kept] + ([b.column(c).combine_chunks() for c in kept] if b is not None else [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())])
-        names = [f"{c}_a" for c in kept] + [f"{c}_b" for c in kept] + ["kind"]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(kind or [0] * n, pa.int32())], names=names)
-
-    last: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch.select(kept)])
-        if edge is None:
-            edge = row_of(t, 0, 1)
-            yield rows(t.slice(0, 1), None, [1])
-        if held is not None:
-            t = pa.concat_tables([held, t]).combine_chunks()
-        doc, gram = t.column("doc_id").to_numpy(), t.column("gram").to_numpy()
-        cut = np.ones(len(doc), bool)
-        cut[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
-        at = np.flatnonzero(cut)
-        run = np.cumsum(cut) - 1
-        done = int(at[-1])  # the last run may go on
-        mine, theirs = [], []
-        if len(at) > 1:
-            head = np.arange(int(at[1]) if held is not None else 0, len(doc))  # runs before were paired with the run before them
-            before = at[run] - 1
-            ok = (before >= 0) & (gram == gram[np.maximum(before, 0)])
-            ok[: head[0] if len(head) else 0] = False
-            mine.append(np.flatnonzero(ok))
-            theirs.append(before[ok])
-            after = np.append(at[1:], len(doc))[run]
-            ok = (after < len(doc)) & (gram == gram[np.minimum(after, len(doc) - 1)])
-            mine.append(np.flatnonzero(ok))
-            theirs.append(after[ok])
-            i, j = np.concatenate(mine), np.concatenate(theirs)
-            if len(i):
-                yield rows(t.take(pa.array(i)), t.take(pa.array(j)))
-        # A long run of one document keeps its last suffix only: the others have no other neighbour to the right but the next run's first.
-        held = t.slice(max(done, len(doc) - 64))
-        last = t.slice(len(doc) - 1, 1)
-    if last is not None:
-        yield rows(last, None, [2])
+    doc, gram, key = (t.column(c).to_numpy() for c in ("doc_id", "gram", "key"))
+    left, right = (np.array(x) for x in nearest_smaller(doc.tolist(), gram.tolist()))
+    names = [f"{c}_a" for c in kept] + [f"{c}_b" for c in kept] + ["kind", "seq", "alone"]
+    for other in (left, right):
+        mine = np.flatnonzero(other >= 0)
+        for at in range(0, len(mine), 100_000):
+            i = mine[at : at + 100_000]
+            x, y = t.take(pa.array(i)), t.take(pa.array(other[i]))
+            cols = [c.combine_chunks() for c in (*(x.column(c) for c in kept), *(y.column(c) for c in kept))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(i), np.int32)), pa.array(np.zeros(len(i), np.int32)), pa.nulls(len(i), pa.bool_())], names=names)
+    ends = _borders(doc, gram, key)
+    x, n = t.take(pa.array([i for _, i in ends])), len(ends)
+    cols = [x.column(c).combine_chunks() for c in kept] + [pa.nulls(n, ty) for ty in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+    yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in ends], pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([bool(gram[0] == gram[-1])] * n)], names=names)
+
+
+def across(partitions: list[tuple[list, list, bool]]) -> list[tuple]:
+    """Pairs (suffix, nearest of a smaller document) over the borders of partitions (first, last, alone); suffixes are (row, doc, place, gram).
+
+    `first` and `last` are the borders of `_borders`; alone says that the partition holds one gram only.
+    """
+    out: list[tuple] = []
+    for way in (1, -1):
+        near: list[tuple] = []  # what a suffix meets on its way, nearest first
+        for first, last, alone in partitions[::way]:
+            mine, further = (first, last[::-1]) if way > 0 else (last, first)
+            same = bool(near) and near[0][3] == mine[0][3]
+            if same:
+                for x in mine:
+                    if y := next((y for y in near if y[1] < x[1]), None):
+                        out.append((x, y))
+            low = min(y[1] for y in further)
+            near = further + ([y for y in near if y[1] < low] if same and alone else [])
+    return out
 
 
 def _extended(k: int, min_words: int):
@@ -189,7 +212,7 @@ def _extended(k: int, min_words: int):
     return run
 
 
-_PAIRS = "row_a bigint, doc_id_a bigint, place_a int, gram_a bigint, row_b bigint, doc_id_b bigint, place_b int, gram_b bigint, kind int"
+_PAIRS = "row_a bigint, doc_id_a bigint, place_a int, gram_a bigint, row_b bigint, doc_id_b bigint, place_b int, gram_b bigint, kind int, seq int, alone boolean"
 
 
 def _kept_suffixes(rows: DataFrame) -> DataFrame:
@@ -203,11 +226,15 @@ def _sorted_pairs(suffixes: DataFrame, order: list[str]) -> DataFrame:
     parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["gram", *order, "doc_id", "row", "place"]
     # The row and place at the end of the key let a suffix that stands in very many documents be cut anywhere.
-    found = durable(suffixes.select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("row", "doc_id", "place", "gram").mapInArrow(_neighbours, _PAIRS).withColumn("part", F.spark_partition_id()))
-    ends = found.filter("kind > 0").orderBy("part", "kind").collect()  # two rows a partition
-    across = [(*x[:4], *y[:4], 0, 0) for x, y in zip(ends[1::2], ends[2::2], strict=False) if x["gram_a"] == y["gram_a"] and x["doc_id_a"] != y["doc_id_a"]]
+    dealt = suffixes.select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    found = durable(dealt.select("row", "doc_id", "place", "gram", F.xxhash64(*order).alias("key")).mapInArrow(_neighbours, _PAIRS).withColumn("part", F.spark_partition_id()))
+    # A few rows a partition: the borders are running minima of document ids.
+    borders: dict[int, tuple[list, list, bool]] = {}
+    for x in found.filter("kind > 0").orderBy("part", "seq").collect():
+        borders.setdefault(x["part"], ([], [], x["alone"]))[x["kind"] - 1].append(tuple(x[:4]))
+    met = [(*x, *y, 0, 0, None, 0) for x, y in across([borders[p] for p in sorted(borders)])]
     inner = found.filter("kind = 0")
-    return inner.unionByName(suffixes.sparkSession.createDataFrame(across, found.schema)) if across else inner
+    return inner.unionByName(suffixes.sparkSession.createDataFrame(met, found.schema)) if met else inner
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, window: int = WINDOW) -> DataFrame:

@@ -261,14 +261,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     ids, w, b = trained(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), model, sample)
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
+    text = f"c{names.index('text')}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = _Features(Restorer(model), ids)
-        for batch in slices(batches, "text"):
-            z = [b + sum(w[i] for i in have.of(t or "")) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, text):
+            z = [b + sum(w[i] for i in have.of(t or "")) for t in batch.column(text).to_pylist()]
             score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
-    source = docs.select(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in names))
+    # Columns go through Arrow by number: their names may hold anything.
+    source = docs.select(*(F.col("text").cast("string").alias(text) if c == "text" else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     schema = reduce(lambda s, f: s.add(f.name, f.dataType, True), source.schema, type(docs.schema)()).add("score", "double")
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema).toDF(*names, "score")
     return out.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
