@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm.common import packed, shared_folder, table
+from orefield.llm.common import durable, packed, shared_folder, table
 from orefield.llm.line_dedup import line_dedup
 from orefield.llm.mixing import mix
 from orefield.llm.near_dedup import near_duplicates
@@ -69,7 +69,7 @@ def packed_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         placed = docs.select("doc_id", "text", (F.coalesce(number, F.lit(0)) * PART * (1 << 16) + F.col("_metadata.row_index")).alias("place"))
     except AnalysisException:  # not read from files
         placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
-    pieces = tokenised_pieces(placed, word_tokenizer(), carry=("place",))
+    pieces = durable(tokenised_pieces(placed, word_tokenizer(), carry=("place",)))  # else tokenised once more for their number
     return pack(pieces, window="place").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
