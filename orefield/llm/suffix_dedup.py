@@ -84,27 +84,37 @@ def _blocks(k: int):
             for row, doc, z, size, kept in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "z", "size", "kept")), strict=True):
                 _, h, _, _ = _hashes(z, size, codec)
                 p = np.array([x["place"] for x in kept], np.int64)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0)) )])
+                sums, back = _prefixes(h)
                 out = [np.full(len(p), row, np.int64), np.full(len(p), doc, np.int64), p.astype(np.int32), np.array([x["gram"] for x in kept], np.int64)]
                 for sign, at0 in ((1, p + k), (-1, p)):
                     at = at0
                     for n in STEPS:
                         a, b = (at, np.minimum(at + n, len(h))) if sign > 0 else (np.maximum(at - n, 0), at)
-                        out.append(_ranged(h, sums, a, b).view(np.int64))
+                        out.append(_ranged(sums, back, a, b).view(np.int64))
                         at = b if sign > 0 else a
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     return run
 
 
-def _ranged(h: np.ndarray, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of the words a to b - 1, in order: each word is weighed by its distance from a."""
-    out = sums[b] - sums[a]
-    n = int((b - a).max(initial=0))
-    for i in range(n):
-        at = np.minimum(a + i, max(len(h) - 1, 0))
-        out += np.where(a + i < b, mixed(h[at] + np.uint64(i)), np.uint64(0)) if len(h) else np.uint64(0)
-    return mixed(out + (b - a).astype(np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _prefixes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of h[i] * base^i modulo 2^64 before each place, and base^-i: with them the hash of any range takes one step."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)]), _powers(_INVERSE, len(h) + 1)
+
+
+def _ranged(sums: np.ndarray, back: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the words a to b - 1, in order, and their number; the same wherever they stand."""
+    return mixed((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
 
 
 def nearest_smaller(doc: list[int], gram: list[int]) -> tuple[list[int], list[int]]:

@@ -130,3 +130,11 @@ def test_nearest_smaller_suffixes_over_any_borders():
         for i in range(n):
             for _, j in smaller(i):
                 assert any(x == i and (y == j or key[y] == key[j]) and doc[y] < doc[i] for x, y in got) or any(x != i and key[x] == key[i] and doc[x] < doc[i] for x in range(n))
+
+
+def test_hashes_of_ranges_don_t_depend_on_their_place():
+    h = np.random.default_rng(5).integers(0, 1 << 63, 50, dtype=np.uint64)
+    x = np.concatenate([h, h[:7], h])
+    sums, back = suffix_dedup._prefixes(x)
+    at = lambda a, b: suffix_dedup._ranged(sums, back, np.array([a]), np.array([b]))[0]
+    assert at(3, 20) == at(60, 77) != at(4, 20) and at(0, 0) == at(9, 9) and at(0, 107) != at(1, 107)
