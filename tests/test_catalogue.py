@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from orefield.plans import catalogue
 
@@ -54,3 +55,10 @@ def test_every_group_has_one_community(spark):
     assert len({x.node for x in r}) == len(r) and -0.5 <= r[0].q <= 1
     members = [m for x in catalogue.QUERIES["lpa_communities"](spark, SF).collect() for m in x.members.split(",")]
     assert sorted(map(int, members)) == sorted(x.node for x in r)
+
+
+def test_every_request_is_answered(spark):
+    rated = spark.read.parquet(f"{SF}/lineitem.parquet").join(spark.read.parquet(f"{SF}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = rated.select("o_custkey", "l_partkey").distinct().count() + 3
+    for name in ("mf_predict", "cf_item_predict_all", "cf_user_predict_all"):
+        assert catalogue.QUERIES[name](spark, SF).count() == asked
