@@ -1,18 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks of equal size. Source i of weight w gives its j-th block the release
-time floor((j-1)/w) and the deadline ceil(j/w); at each time the released block with the earliest deadline
-is next. As long as all sources last, each prefix of t blocks holds between tw - 1 and tw + 1 blocks of a
-source, both excluded. When a source runs out, the others go on with their weights rescaled.
-
-With weights as whole numbers of sum Q the schedule repeats after Q blocks, so one period is computed on the
-driver (its size does not follow the data) and every block's time is arithmetic on its number.
+Each source's documents form blocks of equal size. A fluid schedule serves all sources at once at rates in
+proportion to their weights, those left going faster when one runs out. A block's release time is the floor
+of the time at which the fluid schedule starts it, its deadline the ceiling of the time at which it ends (for
+the j-th block of weight w, while all sources last, floor((j-1)/w) and ceil(j/w)); at each time the released
+block with the earliest deadline is next. The fluid schedule fits in these windows, so the blocks do, and any
+prefix of the mix differs from the fluid one by less than one block of each source. All in exact whole numbers.
+
+The schedule is made on the driver from the sources' sizes, a step for each block of documents, and broadcast:
+8 bytes for each block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,55 +28,78 @@ from pyspark.sql import functions as F
 from .common import durable, packed
 
 BLOCK = 64
-RESOLUTION = 1000
 MAX_SOURCES = 1000
 _BUCKET = 4096
-
-
-def period(quota: list[int]) -> list[list[int]]:
-    """One period of the schedule: for each source the times of its quota[i] blocks, by earliest deadline among the released."""
-    total = sum(quota)
-    times: list[list[int]] = [[] for _ in quota]
-    waiting = [(0, i, 1) for i in range(len(quota))]  # release, source, block
-    heapq.heapify(waiting)
+_STRETCH = 4096  # blocks of a source whose times are one row
+
+
+def rates(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights as they are written in decimals; 0 for those below 0."""
+    exact = [max(Fraction(repr(float(w))), Fraction(0)) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    return [int(w * scale) for w in exact]
+
+
+class Fluid:
+    """When the fluid schedule has served each source j blocks: sum of min(rate * v, blocks) at v = j / rate."""
+
+    def __init__(self, blocks: list[int], rate: list[int]):
+        ends: dict[Fraction, list[int]] = {}  # where sources run out: their blocks and rates
+        for n, r in zip(blocks, rate, strict=True):
+            x = ends.setdefault(Fraction(n, r), [0, 0])
+            x[0] += n
+            x[1] += r
+        self.rate, self.ends = rate, sorted(ends)
+        self.near = [float(v) for v in self.ends]
+        done, left = 0, sum(rate)
+        self.lines = [(done, left)]
+        for v in self.ends:
+            done, left = done + ends[v][0], left - ends[v][1]
+            self.lines.append((done, left))
+
+    def time(self, i: int, j: int) -> tuple[int, int]:
+        """Floor and ceiling of the time."""
+        r = self.rate[i]
+        k = bisect_right(self.near, j / r)
+        while k and j * self.ends[k - 1].denominator < self.ends[k - 1].numerator * r:
+            k -= 1
+        while k < len(self.ends) and j * self.ends[k].denominator > self.ends[k].numerator * r:
+            k += 1
+        done, left = self.lines[k]
+        return done + left * j // r, done - (-left * j // r)
+
+
+def order(blocks: list[int], rate: list[int]) -> Iterator[int]:
+    """The source of the block at each time; blocks and rates are positive."""
+    fluid = Fluid(blocks, rate)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    for t in range(total):
+    waiting = []  # release, deadline, source, block
+    for i in range(len(blocks)):
+        waiting.append((0, fluid.time(i, 1)[1], i, 1))
+    heapq.heapify(waiting)
+    for t in range(sum(blocks)):
         while waiting and waiting[0][0] <= t:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * total // quota[i]), i, j))
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
         _, i, j = heapq.heappop(ready)
-        times[i].append(t)
-        if j < quota[i]:
-            heapq.heappush(waiting, (j * total // quota[i], i, j + 1))
-    return times
-
-
-def phases(blocks: list[int], quota: list[int]) -> list[tuple[int, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, time of the phase, period length, times in a period) until all blocks have a time."""
-    left, done, base, out = list(blocks), [0] * len(blocks), 0, []
-    while active := [i for i, n in enumerate(left) if n]:
-        times = period([quota[i] for i in active])
-        size = sum(quota[i] for i in active)
-        # The phase ends at the first time whose block is missing.
-        end = min(left[i] // quota[i] * size + times[k][left[i] % quota[i]] for k, i in enumerate(active))
-        for k, i in enumerate(active):
-            n = end // size * quota[i] + sum(t < end % size for t in times[k])
-            if n:
-                out.append((i, done[i], n, base, size, times[k]))
-            left[i] -= n
-            done[i] += n
-        base += end
-    return out
-
-
-def quotas(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
-    """Whole numbers of sum max(resolution, 10 per source) nearest to the weights, one at least for each."""
-    total = max(resolution, 10 * len(weights))
-    share = [max(w, 0.0) / (sum(max(w, 0.0) for w in weights) or 1) * total for w in weights]
-    out = [max(1, int(s)) for s in share]
-    for i in sorted(range(len(out)), key=lambda i: (out[i] - share[i], i))[: max(0, total - sum(out))]:
-        out[i] += 1
-    return out
+        yield i
+        if j < blocks[i]:
+            heapq.heappush(waiting, (fluid.time(i, j)[0], fluid.time(i, j + 1)[1], i, j + 1))
+
+
+def phases(blocks: list[int], rate: list[int]) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
+    """(source, first block, blocks, base, length, times after base) of all blocks: first of the sources with a rate, then of the others at equal rates."""
+    base = 0
+    for mine in ([i for i, r in enumerate(rate) if r], [i for i, r in enumerate(rate) if not r]):
+        mine = [i for i in mine if blocks[i]]
+        sizes = np.array([blocks[i] for i in mine], np.int64)
+        size = int(sizes.sum())
+        at = np.fromiter(order(sizes.tolist(), [rate[i] or 1 for i in mine]), np.int32, size)
+        times, start = np.argsort(at, kind="stable"), np.concatenate([[0], np.cumsum(sizes)])
+        for k, i in enumerate(mine):
+            for first in range(0, blocks[i], _STRETCH):
+                own = times[start[k] + first : min(start[k] + first + _STRETCH, start[k + 1])]
+                yield i, first, len(own), base, size, own
+        base += size
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = BLOCK) -> DataFrame:
@@ -76,7 +107,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
     Every row stays; the mix is the order of mix_place. `weights` gives target weights by source; sources
     without one get the smallest given weight. Without weights a source's weight is its number of rows to the
-    power `temperature`. A null source is a source of its own, named like the empty string. Within a source the order is by a hash of
+    power `temperature`. Sources of weight 0 or less come after all others. A null source is a source of its own, named like the empty string. Within a source the order is by a hash of
     doc_id; ties (repeated rows, null ids) in any order. A source has few documents in its last block, so
     places have gaps there. Up to 1000 sources are allowed, a bound on what the driver holds; more raise
     ValueError. An empty table stays empty; columns named mix_block or mix_place are replaced.
@@ -92,10 +123,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         target = [weights.get(s, least) for s in names]
     else:
         target = [n**temperature for n in sizes]
-    plan = phases([-(-n // block) for n in sizes], quotas(target)) if names else []
-    times = spark.createDataFrame(
-        [(names[i], first, n, base, size, times) for i, first, n, base, size, times in plan], "s string, first bigint, n bigint, base bigint, size bigint, times array<bigint>"
-    )
+    plan = list(phases([-(-n // block) for n in sizes], rates(target)))
+    offsets = np.cumsum([0, *(x[2] for x in plan)])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(base + own for *_, base, _, own in plan)]), pa.int64()))
+    times = spark.createDataFrame(pa.table({"t": pa.array([names[x[0]] for x in plan], pa.string()), "stretch": pa.array([x[1] // _STRETCH for x in plan], pa.int64()), "times": lists}))
     # Number the documents of each source without bringing a source together: rows are numbered within
     # buckets of bounded size, and buckets are offset by the rows in those before.
     buckets = spark.createDataFrame([(s, max(1, -(-n // _BUCKET))) for s, n in zip(names, sizes, strict=True)], "s string, buckets bigint")
@@ -104,8 +135,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     starts = durable(dealt.groupBy("s", "bucket").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
     numbered = dealt.withColumn("no", F.row_number().over(W.partitionBy("s", "bucket").orderBy("order", "doc.doc_id"))).join(starts, ["s", "bucket"])
     numbered = numbered.withColumn("no", F.col("no") - 1 + F.col("start")).withColumn("j", F.floor(F.col("no") / block))
-    # At most one row for each source and phase: under a million of bounded size.
-    met = numbered.join(F.broadcast(times.withColumnRenamed("s", "t")), (F.col("s") == F.col("t")) & (F.col("j") >= F.col("first")) & (F.col("j") < F.col("first") + F.col("n")))
-    k = F.col("j") - F.col("first")
-    time = F.col("base") + F.floor(k / F.size("times")) * F.col("size") + F.get("times", (k % F.size("times")).cast("int"))
+    # Eight bytes for each block of documents.
+    met = numbered.join(F.broadcast(times), (F.col("s") == F.col("t")) & (F.floor(F.col("j") / _STRETCH) == F.col("stretch")))
+    time = F.get("times", (F.col("j") % _STRETCH).cast("int"))
     return met.select("doc", "no", time.alias("mix_block")).select("doc.*", "mix_block", (F.col("mix_block") * block + F.col("no") % block).alias("mix_place"))

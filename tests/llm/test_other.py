@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -128,6 +129,35 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert mixing.mix(cases.documents(spark)).count() == len(cases.texts()) and mixing.mix(cases.documents(spark, [])).isEmpty()
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 400), st.sampled_from([1 / 3, 0.0001, 0.05, 0.7, 2.5, 1e-9])), min_size=1, max_size=8))
+def test_mix_keeps_to_weights_of_any_size_after_sources_have_run_out(sources):
+    blocks, rate = [b for b, _ in sources], mixing.rates([w for _, w in sources])
+    done, fluid = [0] * len(blocks), [Fraction(0)] * len(blocks)
+    for i in mixing.order(blocks, rate):
+        done[i] += 1
+        left = Fraction(1)
+        while left:  # serve one more block in proportion to the weights
+            live = [k for k, b in enumerate(blocks) if fluid[k] < b]
+            step = min([left, *((blocks[k] - fluid[k]) * sum(rate[x] for x in live) / rate[k] for k in live)])
+            total = sum(rate[x] for x in live)
+            for k in live:
+                fluid[k] += step * rate[k] / total
+            left -= step
+        assert all(abs(d - f) < 1 for d, f in zip(done, fluid, strict=True))
+    assert done == blocks
+
+
+def test_mix_deviates_by_less_than_a_block_after_many_blocks():
+    blocks, rate = [20_000] + [3000] * 19, mixing.rates([1 / 3] + [2 / 57] * 19)
+    seen, total = 0, sum(rate)
+    for t, i in enumerate(mixing.order(blocks, rate), 1):
+        seen += i == 0
+        if t <= 50_000:  # all sources last
+            assert abs(seen * total - t * rate[0]) < total
+    assert mixing.rates([0.0001, 0.9999]) == [1, 9999]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), min_size=1, max_size=6))
 def test_every_block_has_its_own_time(sources):
