@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import durable, packed
 
 BLOCK = 64
-MAX_SOURCES = 1000
+MAX_SOURCES: int | None = None  # a caller may set a bound; there is none otherwise
 _BUCKET = 4096
 _STRETCH = 4096  # blocks of a source whose times are one row
 
@@ -109,13 +109,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     without one get the smallest given weight. Without weights a source's weight is its number of rows to the
     power `temperature`. Sources of weight 0 or less come after all others. A null source is a source of its own, named like the empty string. Within a source the order is by a hash of
     doc_id; ties (repeated rows, null ids) in any order. A source has few documents in its last block, so
-    places have gaps there. Up to 1000 sources are allowed, a bound on what the driver holds; more raise
-    ValueError. An empty table stays empty; columns named mix_block or mix_place are replaced.
+    places have gaps there. Any number of sources is allowed. An empty table stays empty; columns named mix_block or mix_place are replaced.
     """
     spark = docs.sparkSession
     rows = docs.select(packed(docs, "mix_block", "mix_place").alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.xxhash64("doc_id", F.lit("mix")).alias("order"))
-    counts = rows.groupBy("s").count().orderBy("s").limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
+    counts = rows.groupBy("s").count().orderBy("s").collect()
+    if MAX_SOURCES is not None and len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     names, sizes = [r["s"] for r in counts], [r["count"] for r in counts]
     if weights:
@@ -129,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     times = spark.createDataFrame(pa.table({"t": pa.array([names[x[0]] for x in plan], pa.string()), "stretch": pa.array([x[1] // _STRETCH for x in plan], pa.int64()), "times": lists}))
     # Number the documents of each source without bringing a source together: rows are numbered within
     # buckets of bounded size, and buckets are offset by the rows in those before.
-    buckets = spark.createDataFrame([(s, max(1, -(-n // _BUCKET))) for s, n in zip(names, sizes, strict=True)], "s string, buckets bigint")
+    buckets = spark.createDataFrame(pa.table({"s": pa.array(names, pa.string()), "buckets": pa.array([max(1, -(-n // _BUCKET)) for n in sizes], pa.int64())}))
     dealt = rows.join(F.broadcast(buckets), "s").withColumn("bucket", F.pmod("order", "buckets")).drop("buckets")
     before = W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = durable(dealt.groupBy("s", "bucket").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))

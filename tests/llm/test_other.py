@@ -168,6 +168,12 @@ def test_every_block_has_its_own_time(sources):
     assert sorted(times) == list(range(sum(blocks)))
 
 
+def test_mix_takes_thousands_of_sources(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), F.pmod("id", F.lit(3000))).alias("source"))
+    found = mixing.mix(docs, block=1).collect()
+    assert sorted(r.doc_id for r in found) == list(range(9000)) and sorted(r.mix_place for r in found) == list(range(9000))
+
+
 def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
