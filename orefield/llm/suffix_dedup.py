@@ -5,11 +5,17 @@ k-mers, so that equal passages of k + w - 1 words or more keep equal suffixes wh
 whose first k words start in one document alone go. The others are sorted (by hashes of their first 12, next
 4, next 4, .. words: any order of blocks serves, as neighbours share the longest beginnings), and once more
 by the words to their left. Each suffix and the nearest ones of a smaller document on either side (nothing
-further away shares more) seed matches, which are extended left and right word by word on the two texts; matches of `min_words` or more are returned.
+further away shares more in that direction) seed matches, which are extended left and right word by word on the two
+texts; matches of `min_words` or more are returned.
+
+A document further away may share less in either direction but more in both together. The blocks shared with the
+nearest bound what any smaller document shares on either side; the windows of `min_words` words within these bounds
+that no match covers are met by their hashes with those of smaller documents, and the pairs extended likewise.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,18 +168,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = ["row", "doc_id", "place", "gram"]
     doc, gram, key = (t.column(c).to_numpy() for c in ("doc_id", "gram", "key"))
     left, right = (np.array(x) for x in nearest_smaller(doc.tolist(), gram.tolist()))
-    names = [f"{c}_a" for c in kept] + [f"{c}_b" for c in kept] + ["kind", "seq", "alone"]
+    blocks = [t.column(f"b{i}").to_numpy() for i in range(len(STEPS))]
+    names = [f"{c}_a" for c in kept] + [f"{c}_b" for c in kept] + ["kind", "seq", "alone", "shared"]
     for other in (left, right):
         mine = np.flatnonzero(other >= 0)
         for at in range(0, len(mine), 100_000):
             i = mine[at : at + 100_000]
             x, y = t.take(pa.array(i)), t.take(pa.array(other[i]))
             cols = [c.combine_chunks() for c in (*(x.column(c) for c in kept), *(y.column(c) for c in kept))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(i), np.int32)), pa.array(np.zeros(len(i), np.int32)), pa.nulls(len(i), pa.bool_())], names=names)
+            shared = np.cumprod([b[i] == b[other[i]] for b in blocks], axis=0, dtype=np.int32).sum(axis=0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.zeros(len(i), np.int32)), pa.array(np.zeros(len(i), np.int32)), pa.nulls(len(i), pa.bool_()), pa.array(shared)], names=names)
     ends = _borders(doc, gram, key)
     x, n = t.take(pa.array([i for _, i in ends])), len(ends)
     cols = [x.column(c).combine_chunks() for c in kept] + [pa.nulls(n, ty) for ty in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
-    yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in ends], pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([bool(gram[0] == gram[-1])] * n)], names=names)
+    yield pa.RecordBatch.from_arrays([*cols, pa.array([k for k, _ in ends], pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array([bool(gram[0] == gram[-1])] * n), pa.nulls(n, pa.int32())], names=names)
 
 
 def across(partitions: list[tuple[list, list, bool]]) -> list[tuple]:
@@ -202,9 +210,9 @@ def _extended(k: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             last, a_side = None, None
-            for a, b, row_a, za, na, zb, nb, diagonals in zip(*(batch.column(c).to_pylist() for c in ("doc_a", "doc_b", "row_a", "z_a", "size_a", "z_b", "size_b", "diagonals")), strict=True):
+            for a, b, row_a, row_b, za, na, zb, nb, diagonals in zip(*(batch.column(c).to_pylist() for c in ("doc_a", "doc_b", "row_a", "row_b", "z_a", "size_a", "z_b", "size_b", "diagonals")), strict=True):
                 if row_a != last:
                     last, a_side = row_a, _hashes(za, na, codec)
                 (da, ha, sa, ea), (db, hb, sb, eb) = a_side, _hashes(zb, nb, codec)
@@ -215,14 +223,94 @@ def _extended(k: int, min_words: int):
                     for x, y in turns[turns[:, 1] - turns[:, 0] >= min_words].tolist():
                         x, y = x + lo, y + lo
                         if [da[sa[i] : ea[i]] for i in range(x, y)] == [db[sb[i + d] : eb[i + d]] for i in range(x, y)]:
-                            for o, v in zip(out, (b, x + d, y - x, a, x), strict=True):
+                            for o, v in zip(out, (b, x + d, y - x, a, x, row_b), strict=True):
                                 o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "start", "n_words", "source_id", "source_start"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "start", "n_words", "source_id", "source_start", "row"])
+
+    return run
+
+
+def _left_open(min_words: int):
+    """The suffixes with the starts of windows (lo to hi words before the suffix) that lie in no passage (start, end) of their row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for row, doc, suffixes, spans in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "suffixes", "spans")), strict=True):
+                met: list[list[int]] = []  # starts of windows in passages, as disjoint ranges
+                for a, b in sorted((x["start"], x["start"] + x["n_words"] - min_words) for x in spans or ()):
+                    if met and a <= met[-1][1] + 1:
+                        met[-1][1] = max(met[-1][1], b)
+                    else:
+                        met.append([a, b])
+                firsts = [a for a, _ in met]
+                for x in suffixes:
+                    a, b = max(0, x["place"] - x["hi"]), x["place"] - x["lo"]
+                    if (i := bisect_right(firsts, a) - 1) >= 0 and met[i][1] >= a:
+                        a = met[i][1] + 1
+                    if (i := bisect_right(firsts, b) - 1) >= 0 and met[i][1] >= b:
+                        b = met[i][0] - 1
+                    if a <= b:
+                        for o, v in zip(out, (row, doc, x["place"], x["gram"], x["place"] - b, x["place"] - a), strict=True):
+                            o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["row", "doc_id", "place", "gram", "lo", "hi"])
+
+    return run
+
+
+def _windows(min_words: int):
+    """Hashes of the windows that start lo to hi words before suffixes; mine says that the window is open in its own document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for row, doc, z, size, suffixes in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "z", "size", "suffixes")), strict=True):
+                _, h, _, _ = _hashes(z, size, codec)
+                n = len(h) - min_words + 1
+                if n <= 0:
+                    continue
+                marks = []
+                for lo, hi in (("lo", "hi"), ("own_lo", "own_hi")):
+                    mark = np.zeros(n + 1, np.int64)
+                    for x in suffixes:
+                        if x[lo] is not None:
+                            a, b = max(0, x["place"] - x[hi]), min(n - 1, x["place"] - x[lo])
+                            if a <= b:
+                                mark[a] += 1
+                                mark[b + 1] -= 1
+                    marks.append(np.cumsum(mark)[:n] > 0)
+                at = np.flatnonzero(marks[0])
+                key = _ranged(*_prefixes(h), at, at + min_words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.full(len(at), row, np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), marks[1][at])], names=["h", "row", "doc_id", "start", "mine"])
 
     return run
 
 
-_PAIRS = "row_a bigint, doc_id_a bigint, place_a int, gram_a bigint, row_b bigint, doc_id_b bigint, place_b int, gram_b bigint, kind int, seq int, alone boolean"
+def _open_diagonals(rows: DataFrame, suffixes: DataFrame, pairs: DataFrame, found: DataFrame, min_words: int, k: int) -> DataFrame | None:
+    """Pairs of rows with diagonals for the windows that no passage of found covers; None if there are none."""
+    # Nothing of a smaller document shares more words than these in one direction: one less than the next block would need.
+    most = F.array(*(F.lit(int(n) - 1) for n in np.cumsum(STEPS)), F.lit(1 << 20))
+    span = min_words - k
+    upto = lambda c: F.get(most, F.coalesce(F.max(c), F.lit(len(STEPS))))
+    bounds = pairs.groupBy(F.col("row_a").alias("row"), F.col("place_a").alias("place")).agg(F.max("doc_id_a").alias("doc_id"), F.max("gram_a").alias("gram"), upto("right").alias("r"), upto("left").alias("l"))
+    near = bounds.select("row", "doc_id", "place", "gram", F.greatest(F.lit(0), span - F.col("r")).alias("lo"), F.least(F.lit(span), "l").alias("hi")).filter("lo <= hi")
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    each = near.groupBy("row", "doc_id").agg(F.collect_list(F.struct("place", "gram", "lo", "hi")).alias("suffixes")).join(spans, "row", "left")
+    opens = durable(each.mapInArrow(_left_open(min_words), "row bigint, doc_id bigint, place int, gram bigint, lo int, hi int"))
+    if opens.isEmpty():
+        return None
+    grams = opens.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("doc_id").alias("top"))
+    own = opens.select("row", "place", F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
+    asked = suffixes.select("row", "doc_id", "place", "gram").join(grams, "gram").filter("doc_id <= top").join(own, ["row", "place"], "left")
+    asked = asked.groupBy("row").agg(F.collect_list(F.struct("place", "lo", "hi", "own_lo", "own_hi")).alias("suffixes"))
+    windows = durable(rows.select("row", "doc_id", "z", "size").join(asked, "row").mapInArrow(_windows(min_words), "h bigint, row bigint, doc_id bigint, start int, mine boolean"))
+    first = windows.groupBy("h").agg(F.min(F.struct("doc_id", "row", "start")).alias("a"), F.max(F.when(F.col("mine"), F.col("doc_id"))).alias("b")).filter("b > a.doc_id").select("h", "a")
+    met = windows.filter("mine").join(first, "h").filter("doc_id > a.doc_id")
+    seeds = met.select(F.col("a.row").alias("row_a"), F.col("a.doc_id").alias("doc_a"), F.col("row").alias("row_b"), F.col("doc_id").alias("doc_b"), (F.col("start") - F.col("a.start")).alias("d"))
+    return durable(seeds.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set("d").alias("diagonals")))
+
+
+_PAIRS = "row_a bigint, doc_id_a bigint, place_a int, gram_a bigint, row_b bigint, doc_id_b bigint, place_b int, gram_b bigint, kind int, seq int, alone boolean, shared int"
 
 
 def _kept_suffixes(rows: DataFrame) -> DataFrame:
@@ -237,12 +325,12 @@ def _sorted_pairs(suffixes: DataFrame, order: list[str]) -> DataFrame:
     keys = ["gram", *order, "doc_id", "row", "place"]
     # The row and place at the end of the key let a suffix that stands in very many documents be cut anywhere.
     dealt = suffixes.select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    found = durable(dealt.select("row", "doc_id", "place", "gram", F.xxhash64(*order).alias("key")).mapInArrow(_neighbours, _PAIRS).withColumn("part", F.spark_partition_id()))
+    found = durable(dealt.select("row", "doc_id", "place", "gram", F.xxhash64(*order).alias("key"), *(F.col(c).alias(f"b{i}") for i, c in enumerate(order[: len(STEPS)]))).mapInArrow(_neighbours, _PAIRS).withColumn("part", F.spark_partition_id()))
     # A few rows a partition: the borders are running minima of document ids.
     borders: dict[int, tuple[list, list, bool]] = {}
     for x in found.filter("kind > 0").orderBy("part", "seq").collect():
         borders.setdefault(x["part"], ([], [], x["alone"]))[x["kind"] - 1].append(tuple(x[:4]))
-    met = [(*x, *y, 0, 0, None, 0) for x, y in across([borders[p] for p in sorted(borders)])]
+    met = [(*x, *y, 0, 0, None, None, 0) for x, y in across([borders[p] for p in sorted(borders)])]
     inner = found.filter("kind = 0")
     return inner.unionByName(suffixes.sparkSession.createDataFrame(met, found.schema)) if met else inner
 
@@ -251,8 +339,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     """doc_id, start, n_words, source_id, source_start: passages of min_words words or more that a smaller doc_id has too.
 
     Words are runs of other characters than ASCII white space, places count words from 0. A passage that
-    stands in many documents gives each of them but the first a row or two (its neighbours in the two
-    orders), not a row for every other document. Rows that share a doc_id are one document here and not compared;
+    stands in many documents gives each of them but the first a few rows (its neighbours in the two
+    orders, and the smallest document for what they leave), not a row for every other document. Rows that share a doc_id are one document here and not compared;
     null ids, null and short texts give no rows, nor does an empty table. min_words must be k + window - 1 at
     least, else ValueError. Further columns are ignored.
     """
@@ -266,15 +354,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     schema = "row bigint, doc_id bigint, place int, gram bigint, " + ", ".join(f"{b} bigint" for b in blocks)
     suffixes = durable(rows.select("row", "doc_id", "z", "size").join(kept, "row").mapInArrow(_blocks(k), schema))
     freed(docs.sparkSession)
-    pairs = _sorted_pairs(suffixes, blocks).unionByName(_sorted_pairs(suffixes, blocks[len(STEPS) :] + blocks[: len(STEPS)]))
+    # Across borders the blocks shared are not known and count as all.
+    ways = [_sorted_pairs(suffixes, order).withColumn(c, F.coalesce("shared", F.lit(len(STEPS)))) for c, order in (("right", blocks), ("left", blocks[len(STEPS) :] + blocks[: len(STEPS)]))]
+    pairs = ways[0].unionByName(ways[1], allowMissingColumns=True)
     swap = F.col("doc_id_a") > F.col("doc_id_b")
     way = lambda c, s: F.when(swap, F.col(f"{c}_{'b' if s == 'a' else 'a'}")).otherwise(F.col(f"{c}_{s}"))
     seeds = pairs.filter("doc_id_a != doc_id_b").select(way("row", "a").alias("row_a"), way("doc_id", "a").alias("doc_a"), way("row", "b").alias("row_b"), way("doc_id", "b").alias("doc_b"), (way("place", "b") - way("place", "a")).alias("d"))
     diagonals = durable(seeds.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set("d").alias("diagonals")))
     freed(docs.sparkSession)
     side = lambda s: rows.select(F.col("row").alias(f"row_{s}"), F.col("size").alias(f"size_{s}"), F.col("z").alias(f"z_{s}"))
-    met = diagonals.join(side("b"), "row_b").join(side("a"), "row_a")
-    return met.mapInArrow(_extended(k, min_words), "doc_id bigint, start int, n_words int, source_id bigint, source_start int").distinct()
+    passage = "doc_id bigint, start int, n_words int, source_id bigint, source_start int, row bigint"
+    extended = lambda x: x.join(side("b"), "row_b").join(side("a"), "row_a").mapInArrow(_extended(k, min_words), passage)
+    found = durable(extended(diagonals))
+    freed(docs.sparkSession)
+    more = _open_diagonals(rows, suffixes, pairs, found, min_words, k)
+    return (found if more is None else found.unionByName(extended(more))).drop("row").distinct()
 
 
 def passages_removed(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -107,6 +107,21 @@ def test_repeated_passages_are_found_and_real(spark):
         repeated_passages(cases.documents(spark), min_words=20)
 
 
+def test_passages_between_shorter_overlapping_ones_are_found(spark):
+    r = np.random.default_rng(11)
+    rows, want = [], {}
+    for g in range(8):
+        text, n = [f"g{g}w{i}" for i in range(150)], int(r.integers(50, 62))
+        fill = lambda t: [f"g{g}f{t}x{i}" for i in range(20)]  # noqa: B023, E731
+        rows.append((g, " ".join(fill("a") + text[50 : 50 + n] + fill("b"))))
+        # Any 49 words of the last document in a row stand in another document, too few on their own.
+        rows += [(100 + 200 * g + i, " ".join(fill(f"c{i}") + text[i : i + 49] + fill(f"d{i}"))) for i in range(102)]
+        rows.append((10_000 + g, " ".join(text)))
+        want[10_000 + g] = (50, n, g, 20)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).filter("doc_id >= 10000").collect()
+    assert {x.doc_id: (x.start, x.n_words, x.source_id, x.source_start) for x in got} == want
+
+
 def test_nearest_smaller_suffixes_over_any_borders():
     r = np.random.default_rng(3)
     for _ in range(200):
