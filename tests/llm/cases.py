@@ -42,20 +42,30 @@ def low(t):
     return t.translate({c: c + 32 for c in range(65, 91)})
 
 
-def windows_removed(rows, k=13):
-    """op5: doc_id, words, removed, hash of each row."""
+def _covered(rows, k):
     first = {}
     for d, t in rows:
         w = words(t)
         for i in range(len(w) - k + 1):
             if d is not None:
                 first[tuple(w[i : i + k])] = min(d, first.get(tuple(w[i : i + k]), d))
-    out = []
     for d, t in rows:
         w, gone = words(t), set()
         for i in range(len(w) - k + 1):
             if d is not None and first[tuple(w[i : i + k])] < d:
                 gone.update(range(i, i + k))
+        yield d, w, gone
+
+
+def windows_covered(rows, k):
+    """op2: the words of each document that lie in windows of k words of a smaller one."""
+    return {d: gone for d, _, gone in _covered(rows, k)}
+
+
+def windows_removed(rows, k=13):
+    """op5: doc_id, words, removed, hash of each row."""
+    out = []
+    for d, w, gone in _covered(rows, k):
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
 
@@ -77,6 +87,19 @@ def lines_dropped(rows, least=10):
 
 def near_classes(rows, k, percent):
     """op10: size of the set and smallest reachable doc_id of each row."""
+    sets, tops = _linked(rows, k, percent)
+    ids = defaultdict(list)
+    for (d, _), top in zip(rows, tops, strict=True):
+        ids[top] += [d] if d is not None else []
+    return [(d, len(s), (min(ids[top], default=None) if s else d)) for (d, _), s, top in zip(rows, sets, tops, strict=True)]
+
+
+def near_row_classes(rows, k, percent):
+    """The class of each row; None for those without words."""
+    return [top if s else None for s, top in zip(*_linked(rows, k, percent), strict=True)]
+
+
+def _linked(rows, k, percent):
     sets = []
     for _, t in rows:
         w = words(low(t or ""))
@@ -92,10 +115,7 @@ def near_classes(rows, k, percent):
         both = len(sets[i] & sets[j])
         if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             up[max(top(i), top(j))] = min(top(i), top(j))
-    ids = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        ids[top(i)] += [d] if d is not None else []
-    return [(d, len(sets[i]), (min(ids[top(i)], default=None) if sets[i] else d)) for i, (d, _) in enumerate(rows)]
+    return sets, [top(i) for i in range(len(rows))]
 
 
 def plain(found):

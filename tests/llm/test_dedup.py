@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +109,44 @@ def test_repeated_passages_are_found_and_real(spark):
         repeated_passages(cases.documents(spark), min_words=20)
 
 
+def test_repeated_passages_cover_what_brute_force_finds_on_the_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    text, got, n_rows = {d: cases.words(t) for d, t in docs}, {d: set() for d, _ in docs}, 0
+    for r in queries.op2_suffix_array_dedup(spark, SF).collect():
+        assert text[r.doc_id][r.start : r.start + r.n_words] == text[r.source_id][r.source_start : r.source_start + r.n_words]
+        assert r.source_id < r.doc_id and r.n_words >= 50
+        got[r.doc_id].update(range(r.start, r.start + r.n_words))
+        n_rows += 1
+    assert {d: x for d, x in got.items() if x} == {d: x for d, x in cases.windows_covered(docs, 50).items() if x} and n_rows
+
+
+def test_passages_of_a_large_group_of_near_copies_are_few_and_whole(spark):
+    r = np.random.default_rng(5)
+    text, rows = [f"w{i}" for i in range(170)], []
+    for d in range(300):
+        own = list(text)
+        for at in r.integers(0, 170, d % 3):
+            own[at] = f"x{d}y{at}"
+        rows.append((d, " ".join(own)))
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    got = {d: set() for d, _ in rows}
+    for x in found:
+        got[x.doc_id].update(range(x.start, x.start + x.n_words))
+    assert got == cases.windows_covered(rows, 50) and len(found) < 4 * len(rows)
+
+
+def test_matches_are_maximal_and_contained_ones_go():
+    a, b = np.array([9, 1, 2, 3, 4, 8]), np.array([7, 7, 1, 2, 3, 4])
+    assert suffix_dedup.match(a, b, 2, 3) == (2, 4) and suffix_dedup.match(a, b, 0, 0) == (0, 0)
+    big = np.arange(5000)
+    assert suffix_dedup.match(big, big, 700, 700) == (0, 5000)
+    for order in itertools.permutations([(0, 60, 3, 0), (5, 50, 1, 5), (0, 55, 2, 9), (30, 60, 1, 1), (100, 50, 4, 4)]):
+        found = suffix_dedup.Longest()
+        for x in order:
+            found.add(x)
+        assert found.runs == [(0, 60, 3, 0), (30, 60, 1, 1), (100, 50, 4, 4)] and found.holds(40, 90) and not found.holds(20, 61)
+
+
 def test_passages_between_shorter_overlapping_ones_are_found(spark):
     r = np.random.default_rng(11)
     rows, want = [], {}
