@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed multipliers and offsets of the nine hashes of distinct counting, and a prime that all share.
-FM_PRIME = 24593
+#: Fixed multipliers and offsets of the nine hashes of distinct counting; a prime that all share, and a range below it: no table fills it.
+FM_PRIME = (1 << 47) - 115
+FM_RANGE = 1 << 46
 FM_HASHES = [(421, 149), (1117, 859), (2221, 1433), (3361, 2113), (4127, 3019), (5003, 3559), (6133, 4421), (7211, 5303), (8269, 6131)]
 
 

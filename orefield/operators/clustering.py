@@ -6,9 +6,10 @@ stay in DataFrames. Every pass over points is one projection and at most one agg
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -105,7 +106,7 @@ class BFR:
     k: int
     dims: int
     factor: float = 3.0
-    share: float = 0.2  # of the first chunk, by a hash of the id: the points that found the discard set
+    share: float = 0.2  # of the first chunk: the points that found the discard set, the first by `place` or else by a hash of the id
     ds: list[Cluster] = field(default_factory=list)
     cs: list[Cluster] = field(default_factory=list)
     rs: DataFrame | None = None
@@ -143,19 +144,21 @@ class BFR:
         return placed.filter("cluster < 0").select("point_id", "x")
 
     def update(self, chunk: DataFrame) -> None:
-        chunk = durable(chunk.select("point_id", "x"))
+        """Take in a chunk of points (point_id, x); with a column `place` (from 0) the first share of the first chunk is told by it."""
+        placed_by = "place" in chunk.columns
+        chunk = durable(chunk.select("point_id", "x", *(["place"] if placed_by else [])))
         if not self.ds:
-            part = F.pmod(F.xxhash64("point_id", F.lit(13)), F.lit(1000)) < int(1000 * self.share)
-            base = chunk.filter(part)
+            part = F.col("place") < math.ceil(self.share * chunk.count()) if placed_by else F.pmod(F.xxhash64("point_id", F.lit(13)), F.lit(1000)) < int(1000 * self.share)
+            base = chunk.filter(part).select("point_id", "x")
             found = kmeans(base, first_points(base, self.k), self.dims)
             placed = durable(assign(base, [(c.id, c.centre) for c in found]).select("point_id", "x", "cluster")) if found else None
             if placed is None:
                 return
             self.ds = summaries(placed, self.dims)
             self.parts.append(placed.select("point_id", F.lit("ds").alias("store"), "cluster"))
-            rest = chunk.filter(~part)
+            rest = chunk.filter(~part).select("point_id", "x")
         else:
-            rest = self._absorb(self._absorb(chunk, "ds"), "cs")
+            rest = self._absorb(self._absorb(chunk.select("point_id", "x"), "ds"), "cs")
             rest = durable(rest.unionByName(self.rs) if self.rs is not None else rest)
         self._cluster(rest, 2 * self.k)
         count = lambda s: sum(c.n for c in s)
@@ -178,3 +181,7 @@ class BFR:
             out = out.unionByName(x)
         out = out.select("point_id", F.when(F.col("store") == "ds", F.col("cluster")).otherwise(final).alias("cluster"))
         return out.unionByName(self.rs.select("point_id", F.lit(-1).alias("cluster"))) if self.rs is not None else out
+
+    def metric_rows(self, spark: SparkSession) -> DataFrame:
+        """The sizes of the three sets after each chunk."""
+        return spark.createDataFrame(self.metrics, "round int, ds_clusters int, ds_points bigint, cs_clusters int, cs_points bigint, rs_points bigint")

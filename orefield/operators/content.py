@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_stopword, letter_tokens
+from ..functions.text import STOPWORDS, is_stopword, letter_tokens
+from ..session import durable
+from .keyed import positions
 
 
-def word_counts(texts: DataFrame, rare: float = 0.0001) -> DataFrame:
+def word_counts(texts: DataFrame, rare: float = 0.0001, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """business_id, word, n without stop words and without words under `rare` of all tokens. One count serves both levels."""
-    words = texts.select("business_id", F.explode(letter_tokens(F.col("text"))).alias("word")).filter(~is_stopword(F.col("word")))
-    counts = words.groupBy("business_id", "word").agg(F.count("*").alias("n"))
+    words = texts.select("business_id", F.explode(letter_tokens(F.col("text"))).alias("word")).filter(~is_stopword(F.col("word"), words=stopwords))
+    counts = durable(words.groupBy("business_id", "word").agg(F.count("*").alias("n")))  # else the texts are split again for each use
     total = counts.agg(F.sum("n").alias("t"))
     common = counts.groupBy("word").agg(F.sum("n").alias("c")).join(F.broadcast(total), F.col("c") >= rare * F.col("t")).select("word")  # total: one row
     return counts.join(common, "word")
 
 
-def tfidf(texts: DataFrame, rare: float = 0.0001) -> DataFrame:
+def tfidf(texts: DataFrame, rare: float = 0.0001, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """business_id, word, w: count over the business's largest count, times log2(businesses / businesses with the word)."""
-    counts = word_counts(texts, rare)
+    counts = durable(word_counts(texts, rare, stopwords))
     most = counts.groupBy("business_id").agg(F.max("n").alias("most"))
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
     n = texts.agg(F.count_distinct("business_id").alias("docs"))
@@ -33,9 +35,14 @@ def top_words(scored: DataFrame, n: int = 200) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def vocabulary(scored: DataFrame, n: int = 200) -> DataFrame:
+    """word, position: the words among the top n of any business, numbered in their order from 0."""
+    return positions(top_words(scored, n), "word")
+
+
 def business_profiles(texts: DataFrame, n: int = 200) -> DataFrame:
     """business_id, words: its words among the top n words of any business."""
-    scored = tfidf(texts)
+    scored = durable(tfidf(texts))
     vocabulary = top_words(scored, n).select("word").distinct()
     return scored.join(vocabulary, "word").groupBy("business_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
 

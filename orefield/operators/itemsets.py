@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -34,6 +35,28 @@ def frequent(sets: DataFrame, support: int, size: int) -> DataFrame:
     return out.withColumn("size", F.size("items"))
 
 
+def candidates(sets: DataFrame, support: int, size: int, chunks: int) -> DataFrame:
+    """items: itemsets that are frequent in some chunk of the baskets, at its share of the support; every frequent itemset is one.
+
+    Baskets are dealt into chunks by a hash, and all chunks are counted at once, level by level.
+    """
+    dealt = durable(sets.select("basket", "items", F.pmod(F.xxhash64("basket"), F.lit(chunks)).alias("chunk")))
+    total = F.sum("n").over(W.partitionBy())  # a row for each chunk
+    needed = durable(dealt.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", (support * F.col("n") / total).alias("needed")))
+    local = lambda rows: durable(rows.groupBy("chunk", "items").agg(F.count("*").alias("freq")).join(needed, "chunk").filter("freq >= needed").select("chunk", "items"))
+    items = dealt.select("chunk", "basket", F.explode("items").alias("item"))
+    level = local(items.select("chunk", F.array("item").alias("items")))
+    items = items.join(level.select("chunk", F.col("items")[0].alias("item")), ["chunk", "item"], "left_semi")
+    out, have = level, items.select("chunk", "basket", F.array("item").alias("items"))
+    for _ in range(2, size + 1):
+        bigger = have.join(items, ["chunk", "basket"]).filter(F.col("item") > F.element_at("items", -1)).select("chunk", "basket", F.concat("items", F.array("item")).alias("items"))
+        level = local(bigger)
+        if level.isEmpty():
+            break
+        out, have = out.unionByName(level), bigger.join(level, ["chunk", "items"], "left_semi")
+    return out.select("items").distinct().withColumn("size", F.size("items"))
+
+
 def fpgrowth(sets: DataFrame, support: int, size: int | None = None) -> DataFrame:
     """The same by FP-growth. The threshold is a fraction; half a basket less than support/N rounds to the support exactly."""
     from pyspark.ml.fpm import FPGrowth

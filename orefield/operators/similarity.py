@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import next_prime
+from ..session import durable
 
 
 def overlaps(pairs: DataFrame, key: str, item: str) -> DataFrame:
@@ -35,31 +37,35 @@ def minhashes(n: int, item: Column, buckets: int = 2_147_483_629) -> list[Column
     return out
 
 
-def lsh_candidates(pairs: DataFrame, key: str, item: str, bands: int = 40, rows_per_band: int = 1) -> DataFrame:
-    """a, b (a < b): keys that agree in all rows of a band of their MinHash signature."""
+def lsh_candidates(pairs: DataFrame, key: str, item: str, bands: int = 40, rows_per_band: int = 2, matches: int = 1) -> DataFrame:
+    """a, b (a < b): keys that agree in all rows of at least `matches` bands of their MinHash signature."""
     signature = pairs.groupBy(key).agg(*minhashes(bands * rows_per_band, F.col(item)))
-    band = [F.struct(F.lit(i).alias("band"), F.array(*(f"h{i * rows_per_band + r}" for r in range(rows_per_band))).alias("sig")) for i in range(bands)]
-    buckets = signature.select(F.col(key).alias("a"), F.explode(F.array(*band)).alias("x")).select("a", "x.band", F.xxhash64("x.sig").alias("sig"))
-    return buckets.join(buckets.withColumnRenamed("a", "b"), ["band", "sig"]).filter("a < b").select("a", "b").distinct()
+    band = [F.xxhash64(F.lit(i), *(f"h{i * rows_per_band + r}" for r in range(rows_per_band))) for i in range(bands)]
+    # Written, so that the signatures are made once and a bucket of very many keys can be split.
+    buckets = durable(signature.select(F.col(key).alias("a"), F.explode(F.array(*band)).alias("bucket")))
+    met = buckets.join(buckets.withColumnRenamed("a", "b"), "bucket").filter("a < b").groupBy("a", "b")
+    return met.agg(F.count("*").alias("met")).filter(F.col("met") >= matches).select("a", "b")
 
 
-def lsh_jaccard(pairs: DataFrame, key: str, item: str, at_least: float, bands: int = 40, rows_per_band: int = 1) -> DataFrame:
-    """LSH candidates confirmed by their exact Jaccard similarity: a subset of `jaccard`."""
-    candidates = lsh_candidates(pairs, key, item, bands, rows_per_band)
-    one = pairs.select(key, item).distinct()
-    a, b = one.select(F.col(key).alias("a"), F.col(item).alias("item")), one.select(F.col(key).alias("b"), F.col(item).alias("item"))
-    common = candidates.join(a, "a").join(b, ["b", "item"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    return _with_sim(common, one.groupBy(key).agg(F.count("*").alias("n")), key).filter(F.col("sim") >= at_least).select("a", "b", "sim")
+def lsh_jaccard(pairs: DataFrame, key: str, item: str, at_least: float, bands: int = 40, rows_per_band: int = 2, matches: int = 1) -> DataFrame:
+    """LSH candidates confirmed by their exact Jaccard similarity: a subset of `jaccard`. Sets of items meet whole, a row for each key."""
+    sets = durable(pairs.groupBy(key).agg(F.collect_set(item).alias("items")))
+    side = lambda c: sets.select(F.col(key).alias(c), F.col("items").alias(f"i{c}"))
+    met = lsh_candidates(pairs, key, item, bands, rows_per_band, matches).join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("ia", "ib"))
+    return met.withColumn("sim", common / (F.size("ia") + F.size("ib") - common)).filter(F.col("sim") >= at_least).select("a", "b", "sim")
 
 
-def pearson(ratings: DataFrame, key: str, by: str, min_common: int = 3, default: float | None = 1.0, rated: str = "stars") -> DataFrame:
+def pearson(ratings: DataFrame, key: str, by: str, min_common: int = 3, default: float | None = 1.0, rated: str = "stars", candidates: DataFrame | None = None) -> DataFrame:
     """a, b, n, sim: Pearson correlation over the common raters of two keys; `default` where variance or covariance is zero.
 
-    All sums come from one self-join on the rater and one aggregate by pair.
+    All sums come from one self-join on the rater and one aggregate by pair. With `candidates` (a, b), as `lsh_candidates`
+    gives them, only those pairs meet, so that a rater of very many keys makes no more work than they ask for.
     """
     left = ratings.select(F.col(by).alias("by"), F.col(key).alias("a"), F.col(rated).alias("x"))
     right = left.select("by", F.col("a").alias("b"), F.col("x").alias("y"))
-    s = left.join(right, "by").filter("a < b").groupBy("a", "b").agg(
+    met = left.join(right, "by").filter("a < b") if candidates is None else left.join(candidates, "a").join(right, ["b", "by"])
+    s = met.groupBy("a", "b").agg(
         F.count("*").alias("n"), *(F.sum(e).alias(c) for c, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y"))))
     )
     s = s.filter(F.col("n") >= min_common)
@@ -67,3 +73,10 @@ def pearson(ratings: DataFrame, key: str, by: str, min_common: int = 3, default:
     low = F.expr("sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)")
     sim = F.when((low > 0) & (top != 0), top / F.nullif(low, F.lit(0.0)))
     return s.select("a", "b", "n", (F.coalesce(sim, F.lit(float(default))) if default is not None else sim).alias("sim"))
+
+
+def neighbours(pairs: DataFrame, n: int | None = None) -> DataFrame:
+    """node, neighbour, sim, rank: of pairs (a, b, sim) the others that each side has, most alike first, then by name; the first n, if given."""
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("neighbour"), "sim").union(pairs.select("b", "a", "sim"))
+    ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy(F.desc("sim"), "neighbour")))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)

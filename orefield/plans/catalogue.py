@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import FM_HASHES, FM_PRIME
-from ..functions.text import STOP_TEXT, STOPWORDS
-from ..operators import clustering, content, explore, graph, itemsets, recommend, similarity, sketches
-from ..sources.tables import baskets_long, businesses, ctes, events, points, ratings, reviews, sellers, table, text_reviews
+from ..functions.hashing import FM_HASHES, FM_PRIME, FM_RANGE
+from ..functions.text import BLANK, BLANKS, STOP_TEXT, STOPWORDS
+from ..operators import clustering, content, explore, graph, itemsets, keyed, recommend, similarity, sketches
+from ..session import durable, shared_folder
+from ..sources.files import read_model, write_model
+from ..sources.tables import DIMENSIONS, baskets_long, businesses, ctes, events, points, ratings, reviews, sellers, table, text_reviews
 from ..streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +57,7 @@ def explore_top_users(spark, sf_dir):
     return explore.top_keys(reviews(spark, sf_dir), "user_id", 20)
 
 
-_WORDS = r"+ w as (select unnest(list_transform(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda t: translate(lower(t), '([,.!?:;])', ''))) as word from text_reviews) select word, count(*) as n from w where word <> '' and {} group by 1 order by n desc, word limit 50"
+_WORDS = f"+ w as (select unnest(list_transform(string_split_regex(text, '{BLANK}'), lambda t: translate(lower(t), '([,.!?:;])', ''))) as word from text_reviews) select word, count(*) as n from w where word <> '' and {{}} group by 1 order by n desc, word limit 50"
 
 
 @query(_WORDS.format(f"not contains('{STOP_TEXT}', word)"), ("text_reviews",))
@@ -71,7 +74,7 @@ def explore_top_words_exact_stop(spark, sf_dir):
 
 
 @query(
-    """+ c as (select business_id, trim(unnest(string_split(categories, ','))) as category from businesses where categories is not null)
+    f"""+ c as (select business_id, trim(unnest(string_split(categories, ',')), '{BLANKS}') as category from businesses where categories is not null)
     select category, round(avg(stars), 6) as avg_stars from c join reviews using (business_id) group by 1 order by avg_stars desc, category limit 20""",
     ("reviews", "businesses"),
 )
@@ -158,6 +161,20 @@ def array_set_ops(spark, sf_dir):
     return s.select("user_id", size(F.array_intersect("a", "b")).alias("n_both"), size(F.array_union("a", "b")).alias("n_any"), size(F.array_except("a", "b")).alias("n_first"))
 
 
+@query(
+    """select coalesce(o_custkey, c_custkey) as c_custkey, coalesce(o_totalprice, c_acctbal) as c_acctbal from customer full join
+    (select o_custkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders) where r = 1) on o_custkey = c_custkey"""
+)
+def keyed_upsert(spark, sf_dir):
+    updates = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    return keyed.upsert(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), updates, "c_custkey", "o_orderkey")
+
+
+@query("select c_name, row_number() over (order by c_name) - 1 as position from (select distinct c_name from customer)")
+def key_positions(spark, sf_dir):
+    return keyed.positions(table(spark, sf_dir, "customer"), "c_name")
+
+
 @query("select o_custkey, o_orderkey, rank from (select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as rank from orders) where rank <= 3")
 def topk_per_group(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
@@ -242,9 +259,13 @@ def jaccard_exact(spark, sf_dir):
     return similarity.jaccard(ratings(spark, sf_dir), "user_id", "business_id", 0.05).withColumn("sim", F.round("sim", 6))
 
 
+#: Bands, rows and matches of LSH: two of 100 single hashes agree for a pair at 0.05 with probability 0.96, and closer ones more surely.
+LSH = (100, 1, 2)
+
+
 @query()
 def minhash_lsh_pairs(spark, sf_dir):
-    return similarity.lsh_jaccard(ratings(spark, sf_dir), "user_id", "business_id", 0.05).withColumn("sim", F.round("sim", 6))
+    return similarity.lsh_jaccard(ratings(spark, sf_dir), "user_id", "business_id", 0.05, *LSH).withColumn("sim", F.round("sim", 6))
 
 
 def _pearson_sql(key: str, by: str, common: int, default: str = "1.0") -> str:
@@ -274,39 +295,30 @@ def requests(spark, sf_dir):
     return asked.union(spark.createDataFrame([(-1, 1), (1, -1), (-1, -1)], "user_id bigint, business_id bigint"))
 
 
-def _tenth(spark, sf_dir):
-    """Of the requests what _REQUESTS asks for: for the two queries whose SQL is fixed so; their _all twins answer every request."""
-    return requests(spark, sf_dir).filter("user_id % 10 = 0 or user_id = -1 or business_id = -1")
-
-
-_REQUESTS = "requests as (select distinct user_id, (business_id + 1) % (select count(*) from part) as business_id from ratings where user_id % 10 = 0 union all values (-1, 1), (1, -1), (-1, -1))"
-_ALL_REQUESTS = "requests as (select distinct user_id, (business_id + 1) % (select count(*) from part) as business_id from ratings union all values (-1, 1), (1, -1), (-1, -1))"
+_REQUESTS = "requests as (select distinct user_id, (business_id + 1) % (select count(*) from part) as business_id from ratings union all values (-1, 1), (1, -1), (-1, -1))"
 _AVERAGES = "b_avg as (select business_id, avg(stars) as b_avg, count(*) as raters from ratings group by 1), u_avg as (select user_id, avg(stars) as u_avg, count(*) as items from ratings group by 1)"
 _BOTH = "ways as (select a, b, abs(sim) as w from sims where sim is not null union all select b, a, abs(sim) from sims where sim is not null)"
 
 
-@query(
-    f"""+ {_pearson_sql('business_id', 'user_id', 3, 'null')}, {_REQUESTS}, {_AVERAGES}, {_BOTH},
-    near as (select q.user_id, q.business_id, sum(w * r.stars) / nullif(sum(w), 0) as p from requests q join b_avg on q.business_id = b_avg.business_id and raters >= 30
-        join ratings r on r.user_id = q.user_id join ways on ways.a = q.business_id and ways.b = r.business_id group by 1, 2)
-    select q.user_id, q.business_id, round(greatest(0.0, least(5.0, coalesce(nullif(p, 0), b_avg, u_avg, 0.0))), 6) as stars
-    from requests q left join near using (user_id, business_id) left join b_avg using (business_id) left join u_avg using (user_id)""",
-    ("ratings",),
-)
-def cf_item_predict(spark, sf_dir):
-    return recommend.predict_by_items(ratings(spark, sf_dir), _tenth(spark, sf_dir))
+def _model(spark, tables):
+    """Tables of a model, written and read again as a trainer and a predictor that run apart would."""
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    write_model(folder, **tables)
+    return read_model(spark, folder, *tables)
 
 
 @query(
-    f"""+ {_pearson_sql('business_id', 'user_id', 3, 'null')}, {_ALL_REQUESTS}, {_AVERAGES}, {_BOTH},
+    f"""+ {_pearson_sql('business_id', 'user_id', 3, 'null')}, {_REQUESTS}, {_AVERAGES}, {_BOTH},
     near as (select q.user_id, q.business_id, sum(w * r.stars) / nullif(sum(w), 0) as p from requests q join b_avg on q.business_id = b_avg.business_id and raters >= 30
         join ratings r on r.user_id = q.user_id join ways on ways.a = q.business_id and ways.b = r.business_id group by 1, 2)
     select q.user_id, q.business_id, round(greatest(0.0, least(5.0, coalesce(nullif(p, 0), b_avg, u_avg, 0.0))), 6) as stars
     from requests q left join near using (user_id, business_id) left join b_avg using (business_id) left join u_avg using (user_id)""",
     ("ratings",),
 )
-def cf_item_predict_all(spark, sf_dir):
-    return recommend.predict_by_items(ratings(spark, sf_dir), requests(spark, sf_dir))
+def cf_item_predict(spark, sf_dir):
+    r = durable(ratings(spark, sf_dir))
+    (model,) = _model(spark, {"items": recommend.train(r, "business_id", "user_id")})
+    return recommend.predict_by_items(r, requests(spark, sf_dir), model=model)
 
 
 @query(
@@ -318,19 +330,25 @@ def cf_item_predict_all(spark, sf_dir):
     ("ratings",),
 )
 def cf_user_predict(spark, sf_dir):
-    return recommend.predict_by_users(ratings(spark, sf_dir), _tenth(spark, sf_dir), 30)
+    r = durable(ratings(spark, sf_dir))
+    (model,) = _model(spark, {"users": recommend.train(r, "user_id", "business_id")})
+    return recommend.predict_by_users(r, requests(spark, sf_dir), 30, model=model)
 
 
-@query(
-    f"""+ {_pearson_sql('user_id', 'business_id', 3, 'null')}, {_ALL_REQUESTS}, {_AVERAGES}, {_BOTH},
-    near as (select q.user_id, q.business_id, sum(w * r.stars) / nullif(sum(w), 0) as p from requests q join u_avg on q.user_id = u_avg.user_id and items >= 30
-        join ratings r on r.business_id = q.business_id join ways on ways.a = q.user_id and ways.b = r.user_id group by 1, 2)
-    select q.user_id, q.business_id, round(greatest(0.0, least(5.0, case when b_avg is null then 3.0 else coalesce(nullif(p, 0), u_avg, b_avg) end)), 6) as stars
-    from requests q left join near using (user_id, business_id) left join b_avg using (business_id) left join u_avg using (user_id)""",
-    ("ratings",),
-)
-def cf_user_predict_all(spark, sf_dir):
-    return recommend.predict_by_users(ratings(spark, sf_dir), requests(spark, sf_dir), 30)
+@query()
+def item_model_lsh(spark, sf_dir):
+    return recommend.train(ratings(spark, sf_dir), "business_id", "user_id", lsh=LSH).withColumn("sim", F.round("sim", 6))
+
+
+@query()
+def user_model_lsh(spark, sf_dir):
+    return recommend.train(ratings(spark, sf_dir), "user_id", "business_id", lsh=LSH).withColumn("sim", F.round("sim", 6))
+
+
+@query(f"+ {_pearson_sql('business_id', 'user_id', 3)}, w as (select a as node, b as neighbour, round(sim, 6) as sim from sims union all select b, a, round(sim, 6) from sims) select node, neighbour, sim, cast(rank as int) as rank from (select *, row_number() over (partition by node order by sim desc, neighbour) as rank from w) where rank <= 5", ("ratings",))
+def item_neighbours(spark, sf_dir):
+    sims = similarity.pearson(ratings(spark, sf_dir), "business_id", "user_id").withColumn("sim", F.round("sim", 6))
+    return similarity.neighbours(sims, 5).select("node", "neighbour", "sim", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"+ busy as (select business_id from ratings group by 1 having count(*) >= 30), r2 as (select * from ratings where business_id in (select business_id from busy)), {_pearson_sql('business_id', 'user_id', 2, 'null').replace('ratings', 'r2')} select a as b1, b as b2, round(abs(sim), 6) as sim from sims where sim is not null", ("ratings",))
@@ -343,7 +361,7 @@ def mf_predict(spark, sf_dir):
     return recommend.factorise(ratings(spark, sf_dir), requests(spark, sf_dir))
 
 
-_TFIDF = rf"""+ w as (select business_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\s]', '', 'g'), '[ \t\n\r\f\v]+'), lambda t: t <> '')) as word from text_reviews),
+_TFIDF = rf"""+ w as (select business_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}{BLANKS}]', '', 'g'), '{BLANK}'), lambda t: t <> '')) as word from text_reviews),
     c0 as (select business_id, word, count(*) as n from w where word not in ({_STOP_LIST}) group by 1, 2),
     c as (select * from c0 where word in (select word from c0 group by 1 having sum(n) >= 0.0001 * (select sum(n) from c0))),
     f as (select business_id, word, round(n::double / max(n) over (partition by business_id) * log2((select count(distinct business_id) from text_reviews)::double / count(*) over (partition by word)), 9) as w from c),
@@ -362,6 +380,11 @@ def business_profile(spark, sf_dir):
     return content.business_profiles(text_reviews(spark, sf_dir)).select("business_id", F.size("words").cast("bigint").alias("n"), F.array_join("words", ",").alias("words"))
 
 
+@query(f"{_TFIDF} select word, row_number() over (order by word) - 1 as position from v", ("text_reviews",))
+def vocabulary(spark, sf_dir):
+    return content.vocabulary(durable(content.tfidf(text_reviews(spark, sf_dir))))
+
+
 @query(f"{_TFIDF} select user_id, len(words) as n, array_to_string(words, ',') as words from u", ("text_reviews",))
 def user_profile(spark, sf_dir):
     texts = text_reviews(spark, sf_dir)
@@ -374,9 +397,10 @@ def user_profile(spark, sf_dir):
 )
 def content_score(spark, sf_dir):
     texts = text_reviews(spark, sf_dir)
-    profiles = content.business_profiles(texts)
+    trained = durable(content.business_profiles(texts))
+    businesses_, users = _model(spark, {"business_profiles": trained, "user_profiles": content.user_profiles(texts, trained)})
     asked = texts.select("user_id", F.concat(F.lit("src"), F.col("user_id") % 20).alias("business_id")).distinct()
-    return content.content_scores(asked, content.user_profiles(texts, profiles), profiles)
+    return content.content_scores(asked, users, businesses_)
 
 
 # Sketches
@@ -393,12 +417,12 @@ _ESTIMATE = _ESTIMATE.replace("list_median(", "list_aggregate(").replace("]), 6)
 _WINDOWS = "with w as (select e.*, time_bucket(interval '1 day', ts) - d * interval '1 day' as start from events e, range(3) r(d))"
 
 
-@query(f"with s as (select event_type, count(distinct user_id) as n_exact, {_fm_sql(1 << 24)} from events group by 1) select event_type, n_exact, {_ESTIMATE} from s")
+@query(f"with s as (select event_type, count(distinct user_id) as n_exact, {_fm_sql(FM_RANGE)} from events group by 1) select event_type, n_exact, {_ESTIMATE} from s")
 def fm_distinct(spark, sf_dir):
     return sketches.fm_distinct(events(spark, sf_dir), ["event_type"], "user_id")
 
 
-_FM_WINDOWS = f"{_WINDOWS}, s as (select start, {_fm_sql(1 << 24)} from w group by 1) select start, {_ESTIMATE} from s"
+_FM_WINDOWS = f"{_WINDOWS}, s as (select start, {_fm_sql(FM_RANGE)} from w group by 1) select start, {_ESTIMATE} from s"
 
 
 @query(_FM_WINDOWS)
@@ -411,14 +435,18 @@ def distinct_exact_window(spark, sf_dir):
     return streams.exact_sliding(events(spark, sf_dir))
 
 
-_BITS = 4096
+_FPP = 0.01
+_HASHES = sketches.bloom_size(1, _FPP)[1]
 
 
 def _bloom_sql() -> str:
-    at = ", ".join(f"((((user_id % {sketches.BLOOM_PRIME}) * {a} + {b}) % {sketches.BLOOM_PRIME}) % {_BITS})" for a, b in sketches.BLOOM_HASHES)
-    hit = " and ".join(f"bits[{i + 1}] in (select bit from s)" for i in range(len(sketches.BLOOM_HASHES)))
-    return f"""with p as (select event_id, event_type, user_id, [{at}] as bits from events),
-    s as (select distinct unnest(bits) as bit from p where event_type = 'purchase' and user_id % 3 = 0)
+    p = sketches.BLOOM_PRIME
+    at = ", ".join(f"(((y * y + y * {a} + {b}) % {p}) % m)" for a, b in sketches.bloom_hashes(_HASHES))
+    hit = " and ".join(f"bits[{i + 1}] in (select bit from s)" for i in range(_HASHES))
+    return f"""with b as (select distinct user_id from events where event_type = 'purchase' and user_id % 3 = 0),
+    size as (select greatest(8, cast(ceil(-count(*) * ln({_FPP}) / pow(ln(2), 2)) as bigint)) as m from b),
+    p as (select event_id, user_id, [{at}] as bits from (select *, ((user_id % {p}) * 48271 + 11) % {p} as y from events), size),
+    s as (select distinct unnest(bits) as bit from p where user_id in (select user_id from b))
     select event_id, case when {hit} then 1 else 0 end as flag from p"""
 
 
@@ -428,8 +456,9 @@ def _base(spark, sf_dir):
 
 @query(_bloom_sql())
 def bloom_probe(spark, sf_dir):
-    bits = sketches.bloom_bits(_base(spark, sf_dir), "user_id", _BITS)
-    return sketches.bloom_flags(events(spark, sf_dir), "user_id", "event_id", bits, _BITS)
+    base = _base(spark, sf_dir).select("user_id").distinct()
+    m, k = sketches.bloom_size(base.count(), _FPP)
+    return sketches.bloom_flags(events(spark, sf_dir), "user_id", "event_id", sketches.bloom_bits(base, "user_id", m, k), m, k)
 
 
 @query("select event_id, case when user_id in (select user_id from events where event_type = 'purchase' and user_id % 3 = 0) then 1 else 0 end as flag from events")
@@ -457,9 +486,9 @@ def _centres(spark, sf_dir, k=4):
     return [(r["vec_id"], list(r["x"])) for r in points(spark, sf_dir).filter(F.col("vec_id") < k).collect()]
 
 
-_ASSIGNED = """+ d as (select p.vec_id, p.x, c.vec_id as cluster, sqrt(list_sum(list_transform(range(1, 9), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))) as d from points p, points c where c.vec_id < 4),
+_ASSIGNED = f"""+ d as (select p.vec_id, p.x, c.vec_id as cluster, sqrt(list_sum(list_transform(range(1, {DIMENSIONS + 1}), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))) as d from points p, points c where c.vec_id < 4),
     a as (select * from (select *, row_number() over (partition by vec_id order by d, cluster) as r from d) where r = 1)"""
-_STATS = ", e as (select cluster, unnest(x) as v, unnest(range(8)) as pos from a), s as (select cluster, pos, count(*) as n, sum(v) as s, sum(v * v) as q from e group by 1, 2)"
+_STATS = f", e as (select cluster, unnest(x) as v, unnest(range({DIMENSIONS})) as pos from a), s as (select cluster, pos, count(*) as n, sum(v) as s, sum(v * v) as q from e group by 1, 2)"
 
 
 @query(f"{_ASSIGNED} select vec_id, cast(cluster as int) as cluster, round(d, 5) as d from a", ("points",))
@@ -469,19 +498,19 @@ def kmeans_assign(spark, sf_dir):
 
 @query(f"{_ASSIGNED}{_STATS} select cast(cluster as int) as cluster, cast(pos as int) as pos, n, round(s, 4) as s, round(q, 4) as q from s", ("points",))
 def kmeans_stats(spark, sf_dir):
-    return clustering.summary_rows(clustering.assign(points(spark, sf_dir), _centres(spark, sf_dir)), 8)
+    return clustering.summary_rows(clustering.assign(points(spark, sf_dir), _centres(spark, sf_dir)), DIMENSIONS)
 
 
 @query(
     f"""{_ASSIGNED}{_STATS}, c as (select cluster, list(s / n order by pos) as m, list(case when q / n - (s / n) * (s / n) > 0 then sqrt(q / n - (s / n) * (s / n)) else 1.0 end order by pos) as sd from s group by 1),
-    g as (select p.vec_id, c.cluster, sqrt(list_sum(list_transform(range(1, 9), lambda i: ((p.x[i] - c.m[i]) / c.sd[i]) ** 2))) as d from points p, c)
-    select vec_id, cast(case when d < sqrt(8.0) then cluster else -1 end as int) as cluster from (select *, row_number() over (partition by vec_id order by d, cluster) as r from g) where r = 1""",
+    g as (select p.vec_id, c.cluster, sqrt(list_sum(list_transform(range(1, {DIMENSIONS + 1}), lambda i: ((p.x[i] - c.m[i]) / c.sd[i]) ** 2))) as d from points p, c)
+    select vec_id, cast(case when d < sqrt({DIMENSIONS}.0) then cluster else -1 end as int) as cluster from (select *, row_number() over (partition by vec_id order by d, cluster) as r from g) where r = 1""",
     ("points",),
 )
 def mahalanobis_assign(spark, sf_dir):
     p = points(spark, sf_dir)
-    found = clustering.summaries(clustering.assign(p, _centres(spark, sf_dir)), 8)
-    return clustering.assign_within(p, found, 8, 1.0).select("vec_id", "cluster")
+    found = clustering.summaries(clustering.assign(p, _centres(spark, sf_dir)), DIMENSIONS)
+    return clustering.assign_within(p, found, DIMENSIONS, 1.0).select("vec_id", "cluster")
 
 
 def _numbered(spark, sf_dir):
@@ -491,12 +520,12 @@ def _numbered(spark, sf_dir):
 @query()
 def kmeans_fit(spark, sf_dir):
     p = _numbered(spark, sf_dir)
-    found = clustering.kmeans(p, clustering.first_points(p, 8), 8)
+    found = clustering.kmeans(p, clustering.first_points(p, 8), DIMENSIONS)
     return spark.createDataFrame([(c.id, c.n, [round(v, 6) for v in c.centre]) for c in found], "cluster int, n bigint, centre array<double>")
 
 
 def _bfr(spark, sf_dir):
-    p, model = _numbered(spark, sf_dir), clustering.BFR(8, 8)
+    p, model = _numbered(spark, sf_dir), clustering.BFR(8, DIMENSIONS)
     for chunk in range(4):
         model.update(p.filter(F.col("chunk") == chunk))
     return model
@@ -504,7 +533,7 @@ def _bfr(spark, sf_dir):
 
 @query()
 def bfr_round_metrics(spark, sf_dir):
-    return spark.createDataFrame(_bfr(spark, sf_dir).metrics, "round int, ds_clusters int, ds_points bigint, cs_clusters int, cs_points bigint, rs_points bigint")
+    return _bfr(spark, sf_dir).metric_rows(spark)
 
 
 @query()
@@ -512,16 +541,16 @@ def bfr_assignments(spark, sf_dir):
     return _bfr(spark, sf_dir).result()
 
 
-# Graphs: sellers with the most common reviewers. The threshold is the 80th highest number of common ones.
+# Graphs: sellers that share more reviewers than chance gives, by 3.5 standard deviations.
 
 
 def _edges(spark, sf_dir):
-    pairs = graph.durable(similarity.overlaps(reviews(spark, sf_dir), "seller_id", "user_id"))
-    least = pairs.orderBy(F.desc("common")).limit(80).agg(F.min("common").alias("t")).first()["t"]
-    return graph.durable(pairs.filter(F.col("common") >= least))
+    return durable(graph.surprising_edges(reviews(spark, sf_dir), "seller_id", "user_id"))
 
 
-_EDGES = f"{_OVERLAPS}, edges as (select a, b, common from pairs where common >= (select min(common) from (select common from pairs order by common desc limit 80))), ends as (select a as node, b as other from edges union all select b, a from edges)"
+_EDGES = f"""{_OVERLAPS}, n as (select k, count(*)::double as n from one group by 1), every as (select count(distinct i)::double as every from one),
+    e as (select a, b, common, x.n * y.n / every as mean, (1 - x.n / every) * (1 - y.n / every) as f from pairs join n x on a = x.k join n y on b = y.k, every),
+    edges as (select a, b, common from e where common > mean and (common - mean) * (common - mean) >= 12.25 * mean * f), ends as (select a as node, b as other from edges union all select b, a from edges)"""
 _COMPS = "reach(node, seen) as (select node, node from ends union select r.node, e.other from reach r join ends e on r.seen = e.node), comps as (select node, min(seen) as comp from reach group by 1)"
 
 

@@ -25,10 +25,13 @@ def session(name: str = "orefield", cpus: int | None = None) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orefield-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orefield-"))
     return sc.getCheckpointDir()
 
 

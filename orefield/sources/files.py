@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +26,33 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_points(spark: SparkSession, path: str, d: int) -> DataFrame:
-    """Headerless CSV of an id and d numbers: point_id, x, chunk (the file's name, so that chunks have an order)."""
+    """Headerless CSV of an id and d numbers: point_id, x, chunk (the file's name, so that chunks have an order), place (the line's in its chunk, from 0)."""
     schema = T.StructType([T.StructField(f"c{i}", T.DoubleType()) for i in range(d + 1)])
-    return spark.read.schema(schema).csv(path).select(F.col("c0").cast("long").alias("point_id"), F.array(*(f"c{i}" for i in range(1, d + 1))).alias("x"), F.col("_metadata.file_name").alias("chunk"))
+    rows = spark.read.schema(schema).csv(path).select("*", F.col("_metadata.file_name").alias("chunk"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(W.partitionBy("chunk").orderBy("block", "at")) - 1
+    return rows.select(F.col("c0").cast("long").alias("point_id"), F.array(*(f"c{i}" for i in range(1, d + 1))).alias("x"), "chunk", place.alias("place"))
+
+
+def chunks(points: DataFrame) -> Iterator[DataFrame]:
+    """The chunks of `read_points` one after the other, by their files' names."""
+    for r in points.select("chunk").distinct().orderBy("chunk").collect():
+        yield points.filter(F.col("chunk") == r["chunk"])
+
+
+def read_stopwords(spark: SparkSession, path: str) -> list[str]:
+    """Stop words, one on a line; as a list, which queries hold as a constant."""
+    return [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
+
+
+def write_model(folder: str, **tables: DataFrame) -> None:
+    """Write a trained model's tables (profiles, similarities, ..) side by side."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_model(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    """The named tables of a written model."""
+    return [spark.read.parquet(f"{folder}/{n}") for n in names]
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +83,27 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
+def write_object(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON object, as text."""
+    write_text(spark.createDataFrame([(json.dumps(value, ensure_ascii=False),)], "value string"), path)
+
+
+def itemset_sections(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
+    """line: the candidates and then the frequent itemsets, a line for each size and an empty one after it."""
+    parts = []
+    for k, (title, sets) in enumerate((("Candidates:", candidates), ("Frequent Itemsets:", frequent))):
+        head = sets.sparkSession.createDataFrame([(k, 0, title)], "section int, at int, line string")
+        body = itemset_report(sets).select(F.lit(k).alias("section"), F.col("size").alias("at"), F.concat("line", F.lit("\n")).alias("line"))
+        parts.append(head.unionByName(body))
+    return parts[0].unionByName(parts[1]).orderBy("section", "at").select("line")
+
+
+def write_clusters(points: DataFrame, metrics: DataFrame, folder: str) -> None:
+    """point_id and cluster as JSON lines in the order of ids, and the rounds' metrics as CSV with a header."""
+    write_json(points.orderBy("point_id"), f"{folder}/points")
+    write_csv(metrics.orderBy("round"), f"{folder}/metrics")
+
+
 def itemset_report(itemsets: DataFrame) -> DataFrame:
     """size, line: the itemsets (items array, size) of each size on a line, in lexicographic order."""
     one = F.concat(F.lit("('"), F.array_join("items", "', '"), F.lit("')"))

@@ -51,9 +51,12 @@ def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("business_id"), (F.col("doc_id") % 50).alias("user_id"), "text")
 
 
-def points(spark: SparkSession, sf_dir: str, d: int = 8) -> DataFrame:
-    """vec_id, x (the first d components as double), chunk."""
-    x = F.transform(F.slice("embedding", 1, d), lambda v: v.cast("double"))
+DIMENSIONS = 64
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, x (all components as double), chunk."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), (F.col("vec_id") % 4).alias("chunk"))
 
 
@@ -71,7 +74,7 @@ CTES = {
     "sellers": "select s_suppkey as seller_id, n_name as city, r_name as state from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
     "baskets_long": "select distinct l_orderkey as basket_id, p_brand as item from lineitem join part on l_partkey = p_partkey",
     "text_reviews": "select doc_id, source as business_id, doc_id % 50 as user_id, text from documents",
-    "points": "select vec_id, list_transform(embedding[1:8], lambda v: cast(v as double)) as x, vec_id % 4 as chunk from embeddings",
+    "points": "select vec_id, list_transform(embedding, lambda v: cast(v as double)) as x, vec_id % 4 as chunk from embeddings",
 }
 _NEEDS = {"ratings": ["reviews"]}
 

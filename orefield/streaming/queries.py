@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,61 +39,90 @@ def exact_sliding(events: DataFrame, window: str = WINDOW, slide: str = SLIDE) -
     return events.groupBy(F.window("ts", window, slide).alias("w")).agg(F.count_distinct("user_id").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def drained(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int, str], None]) -> str:
-    """Run a stream over what is available; keep(batch, number, folder) stores each micro-batch. Gives the folder.
+def with_empty_windows(windows: DataFrame, slide: str = SLIDE, fill: dict | None = None) -> DataFrame:
+    """The windows (start, ..) and, between the first and the last, a row for each that had no events, its other columns as in `fill` (n_estimate 0)."""
+    ends = windows.agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    every = ends.filter("a is not null").select(F.explode(F.sequence("a", "b", F.expr(f"interval {slide}"))).alias("start"))
+    return every.join(windows, "start", "left").fillna(fill if fill is not None else {"n_estimate": 0.0})
 
-    Query progress and results lie in the shared folder, so a restarted query goes on where it stopped; a batch
-    that is replayed writes the same sub-folder again.
+
+def drained(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int, str], None], folder: str | None = None, every: str | None = None) -> str:
+    """Run a stream over what is available, or for ever with a batch `every` so often ('5 seconds'); keep(batch, number, folder) stores each micro-batch.
+
+    Gives the folder, which holds query progress and results. A query that is started again with the same `folder` goes on
+    where it stopped; a batch that is replayed writes the same sub-folder again.
     """
-    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(lambda df, n: keep(df, n, folder)).start()
+    folder = folder or f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    when = {"processingTime": every} if every else {"availableNow": True}
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(**when).foreachBatch(lambda df, n: keep(df, n, folder)).start()
     query.awaitTermination()
     return folder
 
 
-def _last(spark: SparkSession, folder: str, batches: list[int]) -> DataFrame:
-    return spark.read.parquet(f"{folder}/out/{max(batches)}")
+def _store(df: DataFrame, n: int, folder: str) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
 
-def stream_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows' distinct counts after the stream has been read: equal to the batch query's."""
-    batches: list[int] = []
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of all stored batches, with `batch`; None before the first."""
+    try:
+        return spark.read.parquet(f"{folder}/out")
+    except AnalysisException:
+        return None
 
-    def keep(df: DataFrame, n: int, folder: str) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/out/{n}")
-        batches.append(n)
 
-    return _last(spark, drained(sliding_distinct(event_stream(spark, sf_dir)), "complete", keep), batches)
+def _last(rows: DataFrame, before: int | None = None) -> DataFrame | None:
+    """The rows of the last batch (before a given one); None if there is none."""
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    n = rows.agg(F.max("batch")).first()[0]
+    return None if n is None else rows.filter(F.col("batch") == n).drop("batch")
 
 
-def stream_reservoir(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
-    """A uniform sample of k events, kept up batch by batch: the smallest hashes of the sample so far and the batch."""
-    batches: list[int] = []
+def append_csv(df: DataFrame, n: int, folder: str) -> None:
+    """Store a micro-batch as CSV with a header, in a folder of its own below `csv`, so that one that is replayed replaces itself."""
+    df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv/batch={n}")
 
-    def keep(df: DataFrame, n: int, folder: str) -> None:
-        rows = df.select("event_id", "tags")
-        before = [b for b in batches if b < n]
-        if before:
-            rows = rows.unionByName(_last(df.sparkSession, folder, before))
-        bottom_k(rows, "event_id", k).write.mode("overwrite").parquet(f"{folder}/out/{n}")
-        batches.append(n)
 
-    return _last(spark, drained(event_stream(spark, sf_dir), "append", keep), batches).select("event_id")
+def stream_fm(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The windows' distinct counts after the stream has been read: equal to the batch query's.
+
+    Each batch stores the windows that it has changed; state leaves with the watermark. The last row of a window counts.
+    """
+    folder = drained(sliding_distinct(event_stream(spark, sf_dir)), "update", _store, folder)
+    return _stored(spark, folder).groupBy("start").agg(F.max_by("n_estimate", "batch").alias("n_estimate"))
 
 
-def stream_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id of each user's first sighting: the state store drops later ones."""
-    batches: list[int] = []
+def stream_reservoir(spark: SparkSession, sf_dir: str, k: int = 100, folder: str | None = None) -> DataFrame:
+    """A uniform sample of k events, kept up batch by batch: the smallest hashes of the sample so far and the batch."""
 
     def keep(df: DataFrame, n: int, folder: str) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/out/{n}")
-        batches.append(n)
+        rows, have = df.select("event_id", "tags"), _stored(df.sparkSession, folder)
+        before = _last(have, n) if have is not None else None
+        _store(bottom_k(rows if before is None else rows.unionByName(before), "event_id", k), n, folder)
 
-    folder = drained(event_stream(spark, sf_dir).select("user_id").dropDuplicates(["user_id"]), "append", keep)
-    return spark.read.parquet(*(f"{folder}/out/{n}" for n in batches))
+    return _last(_stored(spark, drained(event_stream(spark, sf_dir), "append", keep, folder))).select("event_id")
+
+
+def stream_seen(spark: SparkSession, sf_dir: str, folder: str | None = None, within: str | None = None) -> DataFrame:
+    """user_id of each user's first sighting: the state store drops later ones.
+
+    First sightings of all time need a state that grows with the users, on the executors' disks; with `within` ('1 day')
+    a user counts again after so much event time, and the state leaves with the watermark.
+    """
+    events = event_stream(spark, sf_dir)
+    first = events.select("user_id").dropDuplicates(["user_id"]) if within is None else events.select("user_id", "ts").withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id"]).select("user_id")
+    return _stored(spark, drained(first, "append", _store, folder)).select("user_id")
 
 
 def cluster_stream(points: DataFrame, model: BFR) -> BFR:
-    """Update a BFR model with each micro-batch (a chunk) of a stream of (point_id, x)."""
-    drained(points, "append", lambda df, n, folder: model.update(df))
+    """Update a BFR model with each micro-batch (a chunk) of a stream of (point_id, x); a batch that is replayed counts once."""
+    seen: set[int] = set()
+
+    def keep(df: DataFrame, n: int, folder: str) -> None:
+        if n not in seen:
+            model.update(df)
+            seen.add(n)
+
+    drained(points, "append", keep)
     return model
