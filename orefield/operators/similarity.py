@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import next_prime
 from ..session import durable
 
 
@@ -28,12 +27,15 @@ def _with_sim(common: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return common.join(na, "a").join(nb, "b").withColumn("sim", F.col("common").cast("double") / (F.col("na") + F.col("nb") - F.col("common")))
 
 
-def minhashes(n: int, item: Column, buckets: int = 2_147_483_629) -> list[Column]:
-    """n aggregates: the smallest of (a_i * h + b_i) mod p over a set's items, h a hash of the item below p."""
-    h, out, a = F.pmod(F.xxhash64(item), F.lit(buckets)), [], 1000
+def minhashes(n: int, item: Column, p: int = (1 << 31) - 1) -> list[Column]:
+    """n aggregates: the smallest of (a_i * h + b_i) mod p over a set's items, h a hash of the item below p.
+
+    Multipliers of all sizes, from a multiplicative generator: small ones, near each other, would pick the same items.
+    """
+    h, out, a = F.pmod(F.xxhash64(item), F.lit(p)), [], 20_011
     for i in range(n):
-        a = next_prime(a + 97)
-        out.append(F.min(F.pmod(h * a + (i * 7919 + 43), F.lit(buckets))).alias(f"h{i}"))
+        a, b = a * 48_271 % p, a
+        out.append(F.min(F.pmod(h * a + b, F.lit(p))).alias(f"h{i}"))
     return out
 
 
@@ -47,13 +49,18 @@ def lsh_candidates(pairs: DataFrame, key: str, item: str, bands: int = 40, rows_
     return met.agg(F.count("*").alias("met")).filter(F.col("met") >= matches).select("a", "b")
 
 
-def lsh_jaccard(pairs: DataFrame, key: str, item: str, at_least: float, bands: int = 40, rows_per_band: int = 2, matches: int = 1) -> DataFrame:
-    """LSH candidates confirmed by their exact Jaccard similarity: a subset of `jaccard`. Sets of items meet whole, a row for each key."""
+def with_common(pairs: DataFrame, candidates: DataFrame, key: str, item: str) -> DataFrame:
+    """candidates (a, b) with na, nb, common: the sizes of both sets of items and of what they share. Sets meet whole, a row for each key."""
     sets = durable(pairs.groupBy(key).agg(F.collect_set(item).alias("items")))
     side = lambda c: sets.select(F.col(key).alias(c), F.col("items").alias(f"i{c}"))
-    met = lsh_candidates(pairs, key, item, bands, rows_per_band, matches).join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("ia", "ib"))
-    return met.withColumn("sim", common / (F.size("ia") + F.size("ib") - common)).filter(F.col("sim") >= at_least).select("a", "b", "sim")
+    met = candidates.join(side("a"), "a").join(side("b"), "b")
+    return met.select("a", "b", F.size("ia").alias("na"), F.size("ib").alias("nb"), F.size(F.array_intersect("ia", "ib")).alias("common"))
+
+
+def lsh_jaccard(pairs: DataFrame, key: str, item: str, at_least: float, bands: int = 40, rows_per_band: int = 2, matches: int = 1) -> DataFrame:
+    """LSH candidates confirmed by their exact Jaccard similarity: a subset of `jaccard`."""
+    met = with_common(pairs, lsh_candidates(pairs, key, item, bands, rows_per_band, matches), key, item)
+    return met.withColumn("sim", F.expr("common / (na + nb - common)")).filter(F.col("sim") >= at_least).select("a", "b", "sim")
 
 
 def pearson(ratings: DataFrame, key: str, by: str, min_common: int = 3, default: float | None = 1.0, rated: str = "stars", candidates: DataFrame | None = None) -> DataFrame:

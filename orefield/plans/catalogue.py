@@ -259,8 +259,8 @@ def jaccard_exact(spark, sf_dir):
     return similarity.jaccard(ratings(spark, sf_dir), "user_id", "business_id", 0.05).withColumn("sim", F.round("sim", 6))
 
 
-#: Bands, rows and matches of LSH: two of 100 single hashes agree for a pair at 0.05 with probability 0.96, and closer ones more surely.
-LSH = (100, 1, 2)
+#: Bands, rows and matches of LSH: three of 120 single hashes agree for a pair at 0.05 with probability 0.94, and closer ones more surely.
+LSH = (120, 1, 3)
 
 
 @query()
