@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +18,22 @@ BLOCK = 256  # queries in a block
 SHARD = 4096  # candidates in a shard
 
 
-def integers(vector: str = "embedding", scale: int = 256) -> Column:
-    """floor(scale * x) of each component, x as double; null if the vector is null, or any component is null or not finite."""
+def finite(vector: str = "embedding") -> Column:
+    """The vector as doubles; null if it is null, or any component is null or not finite."""
     x = F.col(vector).cast("array<double>")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))) | (F.abs(v) > F.lit(1e15)))
-    return F.when(x.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * scale).cast("bigint")))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+    return F.when(x.isNotNull() & ~bad, x)
 
 
 def _packed(vectors: DataFrame, size: int, into: str) -> DataFrame:
-    """Rows of up to `size` vectors of one dimension: dim, ids, matrix (int64, row-major), n."""
+    """Rows of up to `size` vectors of one dimension: dim, ids, matrix (doubles, row-major), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
             lists = batch.column("v")
             dims = np.diff(lists.offsets.to_numpy())
-            flat, starts = lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(dims)])
+            flat, starts = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(dims)])
             out = []
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
@@ -45,17 +47,30 @@ def _packed(vectors: DataFrame, size: int, into: str) -> DataFrame:
     return vectors.mapInArrow(run, f"dim int, {into}_n int, {into}_ids binary, {into}_m binary")
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of q with all rows of c.
+def integer(x: float, scale: int) -> int:
+    """floor(scale * x), exactly."""
+    return math.floor(Fraction(x) * scale)
 
-    In double precision where no partial sum can pass 2^53, else in 64-bit integers, else in Python's own.
+
+def products(q: np.ndarray, c: np.ndarray, scale: int = 1) -> np.ndarray:
+    """Exact inner products of floor(scale * x) of all rows of q with those of c.
+
+    In double precision where no partial sum can pass 2^53 (doubles hold all numbers on the way exactly), else in Python's whole numbers.
     """
-    size = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
-    if size < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if size < 2**63:
-        return q @ c.T
-    return q.astype(object) @ c.astype(object).T
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = np.floor(scale * q), np.floor(scale * c)
+        size = q.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0)
+    if size < 2**53 and scale & (scale - 1) == 0:
+        return (a @ b.T).astype(np.int64)
+    whole = lambda m: np.array([[integer(v, scale) for v in row] for row in m.tolist()], object).reshape(m.shape)
+    return whole(q) @ whole(c).T if q.shape[1] else np.zeros((len(q), len(c)), object)
+
+
+def ordered(v: int) -> bytes:
+    """Bytes that sort as whole numbers do, of any size."""
+    n = abs(v).to_bytes((abs(v).bit_length() + 7) // 8, "big")
+    up = b"\x80" + len(n).to_bytes(4, "big") + n
+    return up if v >= 0 else bytes(255 - x for x in up)
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -68,22 +83,23 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]] if scores.dtype != object else np.array(sorted(at, key=lambda i: (-scores[i], ids[i]))[:k], int)
 
 
-def _tiles(k: int):
+def _tiles(k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):  # a row is a tile
                 x = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
                 q_ids, c_ids = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["c_ids"], np.int64)
-                q, c = (np.frombuffer(x[n], np.int64).reshape(len(i), x["dim"]) for n, i in (("q_m", q_ids), ("c_m", c_ids)))
-                s = products(q, c)
-                out: list[list] = [[], [], []]
+                q, c = (np.frombuffer(x[n], np.float64).reshape(len(i), x["dim"]) for n, i in (("q_m", q_ids), ("c_m", c_ids)))
+                s = products(q, c, scale)
+                out: list[list] = [[], [], [], []]
                 for i, own in enumerate(q_ids):
                     others = np.flatnonzero(c_ids != own)
                     best = others[_top(s[i][others], c_ids[others], k)]
                     out[0] += [int(own)] * len(best)
                     out[1] += c_ids[best].tolist()
                     out[2] += [max(min(int(v), 2**63 - 1), -(2**63)) for v in s[i][best]]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array([x["c_group"]] * len(out[0]), pa.int32())], names=["query_id", "vec_id", "score", "part"])
+                    out[3] += [ordered(int(v)) if not -(2**63) < v < 2**63 - 1 else None for v in s[i][best]]
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array([x["c_group"]] * len(out[0]), pa.int32())], names=["query_id", "vec_id", "score", "exact", "part"])
 
     return run
 
@@ -93,9 +109,9 @@ def topk_search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
 
     `queries` marks the query rows of `vectors` (vec_id, embedding). Ties go to the smaller vec_id. Rows
     that share a query's vec_id are its own and no candidates; a repeated candidate row can fill several
-    ranks; repeated query rows are asked once. Vectors that are null, hold a null or non-finite component (or one beyond 10^15) or have a null
+    ranks; repeated query rows are asked once. Vectors that are null, hold a null or non-finite component or have a null
     vec_id take no part; vectors of another dimension than the query's are no candidates of it; an empty
-    vector scores 0 against other empty ones. Scores beyond 64 bits are ranked exactly, then shown as the
+    vector scores 0 against other empty ones. Scores beyond 64 bits are computed and ranked exactly, then shown as the
     nearest 64-bit number. Fewer than k candidates give fewer ranks, an empty table none. Extra columns
     are ignored.
 
@@ -104,7 +120,7 @@ def topk_search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
     dimension, so a task holds one tile at a time. Of each tile only k rows per query leave the task; lists
     are merged within each group of shards, then over the groups.
     """
-    v = vectors.select("vec_id", integers("embedding", scale).alias("v"), queries.alias("is_query")).filter("vec_id is not null and v is not null")
+    v = vectors.select("vec_id", finite("embedding").alias("v"), queries.alias("is_query")).filter("vec_id is not null and v is not null")
     spark = vectors.sparkSession
     candidates = durable(_packed(v.select("vec_id", "v"), shard, "c").withColumn("c_no", F.monotonically_increasing_id()))
     blocks = _packed(v.filter("is_query").select("vec_id", "v").distinct(), block, "q")
@@ -113,7 +129,7 @@ def topk_search(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
     candidates = candidates.withColumn("c_group", F.pmod(F.xxhash64("c_no"), F.lit(groups)).cast("int")).drop("c_no")
     blocks = blocks.withColumn("c_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("c_group", F.col("c_group").cast("int"))
     tiles = candidates.join(blocks, ["c_group", "dim"]).select("c_group", "dim", "q_ids", "q_m", "c_ids", "c_m")
-    lists = tiles.mapInArrow(_tiles(k), "query_id bigint, vec_id bigint, score bigint, part int")
-    order = [F.desc("score"), F.asc("vec_id")]
+    lists = tiles.mapInArrow(_tiles(k, scale), "query_id bigint, vec_id bigint, score bigint, exact binary, part int")
+    order = [F.desc("score"), F.desc("exact"), F.asc("vec_id")]  # exact is null but at the ends of 64 bits
     merged = lists.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("rank") <= k).drop("rank")
     return merged.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
