@@ -185,20 +185,27 @@ def _pack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = 3, window: str | None = None) -> DataFrame:
     """The rows of `pieces` (doc_id, piece, length from 1 to capacity, and others) with sequence_id and offset.
 
-    Rows are dealt into partitions of about `part` rows by a hash of the row or, if `window` names a column
-    of numbers 0, 1, 2, .., by stretches of `part` of these, so that a sequence holds neighbours. Rows that are
-    equal throughout are packed one by one. No row is lost; an empty table stays empty. A column named
-    sequence_id, offset, part, bin or leave is replaced.
+    Pieces of full length are sequences of their own, so that at most one piece of a document is packed, however
+    long it is. The others are dealt into partitions of about `part` rows by a hash of the row or, if `window` names
+    a column of numbers, by stretches of `part` of these, so that a sequence holds neighbours; no number should
+    stand for more than one document. Rows that are equal throughout are packed one by one. No row is lost; an
+    empty table stays empty. A column named sequence_id, offset, part, bin or leave is replaced.
     """
     pieces = pieces.drop("sequence_id", "offset", "part", "bin", "leave")
-    n = pieces.count()
-    parts = max(1, -(-n // part))
-    key = F.floor(F.col(window) / part).cast("bigint") if window else F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(parts))
-    state = pieces.withColumn("part", key).withColumn("bin", F.lit(-1).cast("bigint"))
+    full = pieces.filter(F.col("length") == capacity).withColumn("offset", F.lit(0).cast("bigint")).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
+    short = pieces.filter(F.col("length") != capacity)
+    if window:
+        key = F.floor(F.col(window) / part).cast("bigint")
+        ends = short.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+        lowest, fresh = ends["a"] or 0, (ends["b"] or 0) + 1
+    else:
+        lowest, fresh = 0, max(1, -(-short.count() // part))
+        key = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(fresh))
+    state = short.withColumn("part", key - F.lit(lowest)).withColumn("bin", F.lit(-1).cast("bigint"))
     schema = T.StructType([*state.schema.fields, T.StructField("offset", T.LongType()), T.StructField("leave", T.BooleanType())])
     run = lambda pdf: _pack(pdf, capacity)
     state = durable(state.groupBy("part").applyInPandas(run, schema))
-    fresh = parts + 1
+    fresh -= lowest  # the first number that no partition has
     done = state.filter(~F.col("leave"))
     pool = state.filter("leave")
     for turn in range(rounds):
@@ -216,7 +223,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds:
             break
         done = done.unionByName(again.filter(~F.col("leave")))
         pool = again.filter("leave")
-    return done.unionByName(pool).withColumnRenamed("bin", "sequence_id").drop("part", "leave")
+    packed = done.unionByName(pool).withColumnRenamed("bin", "sequence_id").drop("part", "leave")
+    return packed.unionByName(full)
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, part: int = PART, rounds: int = 3) -> DataFrame:
