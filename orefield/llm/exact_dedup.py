@@ -123,7 +123,7 @@ def exact_dedup(docs: DataFrame, huge: int = HUGE, chunk: int = CHUNK) -> DataFr
     prints = durable(fingerprints(docs, huge))
     key = ["h1", "h2", "n_bytes"]
     best = F.max(F.struct("doc_id", "row_key")).alias("best")
-    groups = prints.groupBy(*key).agg(best, F.count("*").alias("group_size"))
+    groups = durable(prints.groupBy(*key).agg(best, F.count("*").alias("group_size")))  # so that the joins with it can split a group
     shape = lambda df: df.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_key") == F.col("best.row_key")).alias("kept"), "text_sha256")
 
     repeated = prints.join(groups.filter("group_size > 1").select(*key), key).select("doc_id", "text_sha256", *key).distinct()
