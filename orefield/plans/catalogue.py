@@ -583,12 +583,26 @@ def graph_modularity(spark, sf_dir):
     return graph.modularity(edges, graph.degrees(edges).select("node", (F.col("node") % 5).alias("comp")))
 
 
-@query()
+_VOTE = "l{1} as (select node, label from (select e.node, l.label, row_number() over (partition by e.node order by count(*) desc, l.label) as r from ends e join l{0} l on e.other = l.node group by 1, 2) where r = 1)"
+
+
+@query(
+    f"{_EDGES}, l0 as (select distinct node, node as label from ends), {', '.join(_VOTE.format(i, i + 1) for i in range(5))} select cast(count(*) as int) as size, string_agg(cast(node as varchar), ',' order by node) as members from l5 group by label",
+    ("reviews",),
+)
 def lpa_communities(spark, sf_dir):
     return graph.community_rows(graph.label_propagation(_edges(spark, sf_dir)), "label").select("size", F.array_join("members", ",").alias("members"))
 
 
-@query()
+@query(
+    f"""{_EDGES}, walks(root, node, level) as (select distinct node, node, 0 from ends union select w.root, e.other, w.level + 1 from walks w join ends e on w.node = e.node where w.level < (select count(distinct node) from ends)),
+    dist as (select root, node, min(level) as level from walks group by 1, 2),
+    paths(root, node, level, sigma) as (select root, node, level, 1.0::double from dist where level = 0 union all
+        select p.root, e.other, p.level + 1, sum(p.sigma) from paths p join ends e on p.node = e.node join dist d on d.root = p.root and d.node = e.other and d.level = p.level + 1 group by 1, 2, 3)
+    select least(e.node, e.other) as a, greatest(e.node, e.other) as b, round(sum(x.sigma * y.sigma / z.sigma) / 2, 6) as w
+    from ends e join paths x on x.node = e.node join paths y on y.root = e.other join paths z on z.root = x.root and z.node = y.node and z.level = x.level + 1 + y.level group by 1, 2""",
+    ("reviews",),
+)
 def edge_betweenness(spark, sf_dir):
     return graph.betweenness(_edges(spark, sf_dir)).select("a", "b", F.round("w", 6).alias("w"))
 
@@ -598,7 +612,8 @@ def girvan_newman(spark, sf_dir):
     return graph.girvan_newman(_edges(spark, sf_dir))
 
 
-ORACLES["graph_components"] = _recursive(ORACLES["graph_components"])
+for _name in ("graph_components", "edge_betweenness"):
+    ORACLES[_name] = _recursive(ORACLES[_name])
 
 # Streams: equal to their batch twins after all has been read.
 
