@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share: the session's own, or, only where it names none, as in tests, a temporary one."""
+    """The checkpoint folder that driver and executors share: the session's own, or, only in a local session that names none, as in tests, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orefield-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="orefield-"))
     return sc.getCheckpointDir()
 
 
@@ -47,6 +51,13 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def trimmed() -> None:
+    """Give memory that is free back to the system: a worker is used again and again, and would keep the peak of every task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has about `most` bytes in each (a row more at least)."""
     for batch in batches:
@@ -58,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
             yield batch.slice(at, upto - at)
             at = upto
+    trimmed()
 
 
 def lengths(array: pa.Array) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, freed, joined, mixed, slices, window_hashes, word_hashes, words
+from .common import durable, freed, joined, mixed, slices, trimmed, window_hashes, word_hashes, words
 
 K, WINDOW, MIN_WORDS = 12, 32, 50
 STEPS = (4, 4, 8, 16, 32)  # words in the blocks after the first k (and before the suffix)
@@ -299,6 +299,7 @@ def _extended(k: int, min_words: int):
                 yield flushed()
         out += [(doc, *x, last) for x in found.runs]
         yield flushed()
+        trimmed()
 
     return run
 
