@@ -15,24 +15,31 @@ components are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, folded, freed, joined, mixed, slices, window_hashes, word_hashes, words
+from .common import durable, folded, freed, joined, mixed, slices, trimmed, whole, window_hashes, word_hashes, words
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
 DEPTH, LEAF, BINS = 4, 200, 256
+BYTES = 128 << 20  # of text that a task holds of a block; a leaf with more is dealt into blocks like one with many members
 FIRST = 2  # trees whose leaves are compared first, so that the other trees meet groups of copies already connected
 
 
+_LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
 def trees_for(similarity: float, recall: float, depth: int = DEPTH) -> int:
     """Trees so that a pair of this similarity shares a leaf in one of them with this probability, even at full depth."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**depth)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))) if similarity < 1 else 1
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -53,7 +60,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _profiles(k: int, trees: int, depth: int):
-    """Of each document: set size, a 128-bit signature of the set, the nodes on its path in each tree, a sketch, the text squeezed."""
+    """Of each document: set size, a 128-bit digest of its words in order, the nodes on its path in each tree, a sketch, the text squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
@@ -65,13 +72,10 @@ def _profiles(k: int, trees: int, depth: int):
             full = sizes[sizes > 0]
             x = np.concatenate(sets) if m else np.zeros(0, np.uint64)
             starts = np.concatenate([[0], np.cumsum(full)])[:-1].astype(np.int64)
-            sig = np.zeros((2, n), np.uint64)
             path = np.zeros((n, trees * depth), np.uint64)
             sketch = np.zeros((n, BINS), np.uint8)
             if m:
                 rows = np.flatnonzero(sizes > 0)
-                sig[0, rows] = np.add.reduceat(mixed(x), starts)
-                sig[1, rows] = np.add.reduceat(mixed(x ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 for t in range(trees):
                     node = mixed(np.full(m, t + 1, np.uint64))
                     for level in range(depth):
@@ -83,27 +87,38 @@ def _profiles(k: int, trees: int, depth: int):
                 head[1:] = at[1:] != at[:-1]
                 sketch.ravel()[at[head]] = (mixed(x[head]) % np.uint64(255)).astype(np.uint8) + 1
             data = raw.tobytes()
-            z = [codec.compress(data[a:b], asbytes=True) if b > a else b"" for a, b in zip(off[:-1], off[1:], strict=True)]
+            texts = [data[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
+            z = [codec.compress(t, asbytes=True) if t else b"" for t in texts]
+            sig = np.frombuffer(b"".join(blake2b(b" ".join(t.translate(_LOW).split()), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
             flat = pa.array(path.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(s.view(np.int64)) for s in sig), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees * depth), flat), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(np.diff(off).astype(np.int64)), pa.array(z, pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "path", "sketch", "size", "z"],
+                [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees * depth), flat), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(np.diff(off).astype(np.int64)), pa.array(z, pa.binary())],
+                names=["key", "doc_id", "n", "s1", "s2", "path", "sketch", "size", "z"],
             )
 
     return run
 
 
+def _large(leaf: int) -> Column:
+    return (F.col("count") > leaf) | (F.col("bytes") > BYTES)
+
+
+def _blocks_of(count: Column, size: Column, leaf: int) -> Column:
+    """How many blocks so many members of so many bytes need."""
+    return F.greatest(F.ceil(count / leaf), F.ceil(size / BYTES))
+
+
 def _leaves(sets: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
-    """tree, node, vid, count: the members of the leaves with two members at least."""
-    paths = sets.select("vid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * depth + 1, depth))).alias("tree", "p"))
+    """tree, node, vid, size, count, bytes: the members of the leaves with two members at least, with their texts' sizes and both sums."""
+    paths = sets.select("vid", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * depth + 1, depth))).alias("tree", "p"))
     out, big = [], None
     for level in range(depth):
-        rows = paths.select("tree", "vid", F.col("p")[level].alias("node"), *([F.col("p")[level - 1].alias("up")] if level else []))
+        rows = paths.select("tree", "vid", "size", F.col("p")[level].alias("node"), *([F.col("p")[level - 1].alias("up")] if level else []))
         if big is not None:
             rows = rows.join(big.select(F.col("node").alias("up")), "up", "left_semi").drop("up")
-        counts = durable(rows.groupBy("node").count().filter("count > 1"))
-        big = counts.filter(F.col("count") > leaf)
-        out.append(rows.join(counts if level == depth - 1 else counts.filter(F.col("count") <= leaf), "node").select("tree", "node", "vid", "count"))
+        counts = durable(rows.groupBy("node").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).filter("count > 1"))
+        big = counts.filter(_large(leaf))
+        out.append(rows.join(counts if level == depth - 1 else counts.filter(~_large(leaf)), "node").select("tree", "node", "vid", "size", "count", "bytes"))
         if level == depth - 1 or big.isEmpty():
             break
     members = out[0]
@@ -150,6 +165,7 @@ class _Groups:
                 held.append(batch.slice(a, b - a))
         if held:
             yield pa.Table.from_batches(held)
+        trimmed()
 
 
 def _sketches(t: pa.Table) -> np.ndarray:
@@ -222,19 +238,37 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(z: list[bytes], sizes: list[int], k: int, percent: int, most: int = BYTES // 4) -> list[tuple[int, int]]:
+    """Edges that connect what links connect among squeezed texts; all of them at once, or two groups of at most `most` bytes (a text at least) at a time."""
+    codec = pa.Codec("zstd")
+
+    def found(at: list[int]) -> list[tuple[int, int]]:
+        texts = (codec.decompress(z[i], sizes[i], asbytes=True) for i in at)
+        sets = [shingle_sets(np.frombuffer(x, np.uint8), np.array([0, len(x)]), k)[0] for x in texts]
+        n, shared = np.array([len(x) for x in sets]), shared_counts(sets)
+        return [(at[i], at[j]) for i, j in forest(100 * shared >= percent * (n[:, None] + n[None, :] - shared))]
+
+    groups: list[list[int]] = [[]]
+    held = 0
+    for i, n in enumerate(sizes):
+        if groups[-1] and held + n > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(i)
+        held += n
+    if len(groups) <= 2:
+        return found([*range(len(z))])
+    return [e for x, y in combinations(groups, 2) for e in found(x + y)]
+
+
 def _exact(k: int, percent: int):
     """Links of each block that connect all its members which links connect, from the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
         a, b = [], []
         for t in _Groups(batches, _BLOCK):
             vid = t.column("vid").to_pylist()
-            texts = [codec.decompress(z, n, asbytes=True) for z, n in zip(t.column("z").to_pylist(), t.column("size").to_pylist(), strict=True)]
-            sets = [shingle_sets(np.frombuffer(x, np.uint8), np.array([0, len(x)]), k)[0] for x in texts]
-            n, shared = np.array([len(x) for x in sets]), shared_counts(sets)
-            linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
-            for i, j in forest(linked):
+            for i, j in _joined(t.column("z").to_pylist(), t.column("size").to_pylist(), k, percent):
                 a.append(vid[i])
                 b.append(vid[j])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
@@ -257,24 +291,27 @@ def _linked(blocks: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
 
 def _first_blocks(members: DataFrame, leaf: int) -> DataFrame:
     """Each leaf as a block; a large one dealt at random into several."""
-    i = F.pmod(F.xxhash64("vid", "node"), F.ceil(F.col("count") / leaf))
+    i = F.pmod(F.xxhash64("vid", "node"), _blocks_of(F.col("count"), F.col("bytes"), leaf))
     return members.select("node", F.lit("s").alias("kind"), i.alias("i"), F.lit(0).cast("bigint").alias("j"), "vid", F.col("vid").alias("comp"))
 
 
 def _open_blocks(members: DataFrame, comps: DataFrame, leaf: int) -> DataFrame:
     """Blocks in which all members of a leaf meet that no link connects yet.
 
-    A leaf up to `leaf` members is one block. In a larger one the members outside its largest component meet
+    A leaf of up to `leaf` members and BYTES of text is one block. In a larger one the members outside its largest component meet
     each other and all others, block by block; members of the largest component don't meet each other.
     """
-    rows = durable(members.join(comps, "vid", "left").select("node", "vid", "count", F.coalesce("comp", "vid").alias("comp")))
+    rows = durable(members.join(comps, "vid", "left").select("node", "vid", "size", "count", "bytes", F.coalesce("comp", "vid").alias("comp")))
     zero = F.lit(0).cast("bigint")
-    small = rows.filter(F.col("count") <= leaf)
+    small = rows.filter(~_large(leaf))
     open_ = small.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("node")
     small = small.join(open_, "node").select("node", F.lit("s").alias("kind"), zero.alias("i"), zero.alias("j"), "vid", "comp")
-    large = rows.filter(F.col("count") > leaf)
-    sizes = large.groupBy("node", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("c")).select("node", F.col("m.comp").alias("main"), F.ceil(F.col("m.c") / leaf).alias("inner"), F.ceil((F.col("c") - F.col("m.c")) / leaf).alias("outer")).filter("outer > 0")
+    large = rows.filter(_large(leaf))
+    sizes = large.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    # Written, so that the join with it can split a node.
+    main = sizes.groupBy("node").agg(F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    outer = _blocks_of(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"), leaf)
+    main = durable(main.select("node", F.col("m.comp").alias("main"), _blocks_of(F.col("m.c"), F.col("m.s"), leaf).alias("inner"), outer.alias("outer")).filter("outer > 0"))
     dealt = large.join(main, "node").withColumn("out", F.col("comp") != F.col("main"))
     dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("vid"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))))
     upto = lambda n: F.sequence(zero, n - 1)
@@ -288,25 +325,36 @@ def _open_blocks(members: DataFrame, comps: DataFrame, leaf: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = 0.999, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs.
+    """doc_id, n_shingles, component_id, kept: a row for each row of docs, of the classes of `near_classes`.
+
+    component_id is the smallest doc_id of the class, and kept says that it is the row's own. A row with a null doc_id
+    links others, but is never a component's name; without any other it has component_id null and is kept.
+    """
+    found = near_classes(docs, shingle, percent, recall, depth, leaf)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, recall: float = 0.999, depth: int = DEPTH, leaf: int = LEAF, key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id (its smallest doc_id): a row for each row of docs; with `key` its value too.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a document's set holds its
     distinct shingles of `shingle` words (fewer words: the whole sequence as one). Rows are linked if
-    100 * |intersection| >= percent * |union|, and component_id is the smallest doc_id reachable by links.
-    Null and blank texts have an empty set and no links. Rows of equal sets are one vertex. A row with a null
-    doc_id links others, but is never a component's name; alone it has component_id null and is kept. An empty
-    table gives no rows; further columns are ignored.
+    100 * |intersection| >= percent * |union|, and rows that links connect are a class. Null and blank texts have an
+    empty set, no links and no class. Rows of equal words in equal order are one vertex. An empty table gives no rows; further columns are ignored.
 
-    `recall` is the probability that a pair at the threshold meets in a leaf; closer pairs meet more surely.
+    `recall` is the probability that a pair at the threshold meets in a leaf; closer pairs meet more surely. Before
+    full sets are compared, sketches leave out pairs that look 4.5 standard deviations too far apart, which a pair
+    at the threshold does with probability 3.4e-6. Full sets hold 64-bit hashes of the shingles.
     """
     trees = trees_for(percent / 100, recall, depth)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, path array<bigint>, sketch binary, size bigint, z binary"
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole().alias("text"), (F.lit(None).cast("int") if key is None else key).alias("key"))
+    schema = f"key {source.schema['key'].dataType.simpleString()}, doc_id bigint, n bigint, s1 bigint, s2 bigint, path array<bigint>, sketch binary, size bigint, z binary"
     rows = durable(source.mapInArrow(_profiles(shingle, trees, depth), schema).withColumn("row", F.monotonically_increasing_id()))
-    key = ["n", "s1", "s2"]
+    same = ["n", "s1", "s2"]
     known = rows.filter("n > 0")
-    # Equal sets are one vertex: the row with the smallest number stands for them.
-    vertex = durable(known.groupBy(*key).agg(F.min("row").alias("vid"), F.min("doc_id").alias("low")))
+    # Equal texts are one vertex: the row with the smallest number stands for them. Equal sets of other texts meet in every tree.
+    vertex = durable(known.groupBy(*same).agg(F.min("row").alias("vid"), F.min("doc_id").alias("low")))
     sets = known.join(vertex.select("vid"), F.col("row") == F.col("vid"), "left_semi").withColumnRenamed("row", "vid")
     members = _leaves(sets, trees, depth, leaf)
     comps = components(_linked(_first_blocks(members.filter(F.col("tree") < FIRST), leaf), sets, shingle, percent))
@@ -315,7 +363,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     comps = components(comps.select(F.col("vid").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = vertex.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    classes = named.join(names, "comp").select(*key, "component_id")
-    met = rows.select("doc_id", *key).join(classes, key, "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return met.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    classes = named.join(names, "comp").select(*same, F.col("comp").alias("class_id"), "component_id")
+    met = rows.select("doc_id", *same, "key").join(classes, same, "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", *(["key"] if key is not None else []))

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def test_substring_dedup_on_odd_rows(spark):
     assert from_small_numbers(small_numbers(x)).tolist() == x.tolist()
 
 
+def test_substring_dedup_sorts_windows_range_by_range(spark, monkeypatch):
+    from orefield.llm import substring_dedup as sub
+
+    monkeypatch.setattr(sub, "SORTED", 1000)
+    monkeypatch.setattr(sub, "PART", 100_000)
+    assert cases.plain(substring_dedup(cases.documents(spark)).collect()) == cases.plain(cases.windows_removed(cases.texts()))
+
+
 def test_substring_dedup_equals_brute_force_on_the_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert cases.plain(queries.op5_substring_dedup(spark, SF).collect()) == cases.plain(cases.windows_removed(docs))
@@ -81,6 +90,48 @@ def test_near_duplicates_equal_brute_force_on_the_table(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_copies_at_the_threshold_are_linked_and_those_below_are_not(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(300)]
+        for c in range(8):
+            own = list(base)
+            for at in r.integers(0, 300, int(r.integers(2, 14))):  # around 0.85 of 3-word shingles at 7 changes
+                own[at] = f"g{g}c{c}x{at}"
+            rows.append((100 * g + c, " ".join(own)))
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), shingle=3, percent=85).collect()
+    want = cases.near_classes(rows, 3, 85)
+    assert 60 < len({c for *_, c in want}) < 300
+    assert cases.plain((x.doc_id, x.n_shingles, x.component_id) for x in got) == cases.plain(want)
+
+
+def test_blocks_of_large_texts_are_compared_part_by_part(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in r.integers(0, 10**9, 3000)]
+    texts = [" ".join([*words[: 3000 - 10 * i], *(f"x{i}y{j}" for j in range(10 * i))]) for i in range(12)]
+    codec = pa.Codec("zstd")
+    z, sizes = [codec.compress(t.encode(), asbytes=True) for t in texts], [len(t.encode()) for t in texts]
+
+    def classes(edges):
+        up = list(range(12))
+        for a, b in edges * 12:
+            up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert classes(near._joined(z, sizes, 5, 92)) == classes(near._joined(z, sizes, 5, 92, most=40_000)) == [0] * 12
+    assert near._joined(z, sizes, 5, 100, most=40_000) == []
+    monkeypatch.setattr(near, "BYTES", 60_000)  # leaves of three texts are dealt into blocks
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 5, 92).collect()
+    assert {x.component_id for x in got} == {0}
+
+
+def test_equal_sets_of_other_texts_are_linked(spark):
+    a = " ".join(f"w{i}" for i in range(50))
+    got = near.near_duplicates(spark.createDataFrame([(4, a), (5, f"{a} {a}"), (6, a.upper()), (7, f"{a}  {a}")], "doc_id bigint, text string"), 1, 100).collect()
+    assert {x.component_id for x in got} == {4}
+
+
 def test_shared_counts_and_forests():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 500, 40_000)]
