@@ -7,21 +7,23 @@ the j-th block of weight w, while all sources last, floor((j-1)/w) and ceil(j/w)
 block with the earliest deadline is next. The fluid schedule fits in these windows, so the blocks do, and any
 prefix of the mix differs from the fluid one by less than one block of each source. All in exact whole numbers.
 
-The schedule is made on the driver from the sources' sizes, a step for each block of documents, and broadcast:
-8 bytes for each block.
+The schedule follows from the sources' sizes, a step of some microseconds for each block of documents. One task makes
+it as a stream, of which it holds a stretch for each source, and writes it to the shared folder, 8 bytes a block. It is
+broadcast if it has at most SMALL blocks, else joined.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ from .common import durable, packed
 
 BLOCK = 64
 MAX_SOURCES: int | None = None  # a caller may set a bound; there is none otherwise
+SMALL = 4_000_000  # blocks of a schedule, or sources, whose table is broadcast: 32 MB
 _BUCKET = 4096
-_STRETCH = 4096  # blocks of a source whose times are one row
+_STRETCH = 512  # blocks of a source whose times are one row
 
 
 def rates(weights: list[float]) -> list[int]:
@@ -87,21 +90,41 @@ def order(blocks: list[int], rate: list[int]) -> Iterator[int]:
 
 
 def phases(blocks: list[int], rate: list[int]) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
-    """(source, first block, blocks, base, length, times after base) of all blocks: first of the sources with a rate, then of the others at equal rates."""
+    """(source, first block, blocks, base, length, times after base) of all blocks, as they are scheduled: first of the sources with a rate, then of the others at equal rates."""
     base = 0
     for mine in ([i for i, r in enumerate(rate) if r], [i for i, r in enumerate(rate) if not r]):
         mine = [i for i in mine if blocks[i]]
-        sizes = np.array([blocks[i] for i in mine], np.int64)
-        size = int(sizes.sum())
-        at = np.fromiter(order(sizes.tolist(), [rate[i] or 1 for i in mine]), np.int32, size)
-        times, start = np.argsort(at, kind="stable"), np.concatenate([[0], np.cumsum(sizes)])
-        for k, i in enumerate(mine):
-            for first in range(0, blocks[i], _STRETCH):
-                own = times[start[k] + first : min(start[k] + first + _STRETCH, start[k + 1])]
-                yield i, first, len(own), base, size, own
+        size = sum(blocks[i] for i in mine)
+        held: dict[int, tuple[int, array]] = {}
+        for t, k in enumerate(order([blocks[i] for i in mine], [rate[i] or 1 for i in mine])):
+            first, own = held.setdefault(k, (0, array("q")))
+            own.append(t)
+            if len(own) == _STRETCH:
+                yield mine[k], first, len(own), base, size, np.array(own)
+                held[k] = (first + _STRETCH, array("q"))
+        for k, (first, own) in held.items():
+            if own:
+                yield mine[k], first, len(own), base, size, np.array(own)
         base += size
 
 
+def schedule(spark: SparkSession, names: list[str], blocks: list[int], rate: list[int]) -> DataFrame:
+    """t (a source's name), stretch, times: when each block of a source has its turn, _STRETCH of them a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        for i, first, _, base, _, own in phases(blocks, rate):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i]]), pa.array([first // _STRETCH]), pa.array([base + own], pa.list_(pa.int64()))], names=["t", "stretch", "times"])
+
+    return durable(spark.range(0, 1, 1, 1).mapInArrow(run, "t string, stretch bigint, times array<bigint>"))
+
+
+def _beside(df: DataFrame, n: int) -> DataFrame:
+    """A table of n numbers or short texts to join with: broadcast if it is small, whatever Spark knows of it."""
+    return F.broadcast(df) if n <= SMALL else df
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = BLOCK) -> DataFrame:
     """The rows of docs with mix_block (the block's time) and mix_place (0, 1, 2, .. but for short last blocks).
 
@@ -122,19 +145,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         target = [weights.get(s, least) for s in names]
     else:
         target = [n**temperature for n in sizes]
-    plan = list(phases([-(-n // block) for n in sizes], rates(target)))
-    offsets = np.cumsum([0, *(x[2] for x in plan)])
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(base + own for *_, base, _, own in plan)]), pa.int64()))
-    times = spark.createDataFrame(pa.table({"t": pa.array([names[x[0]] for x in plan], pa.string()), "stretch": pa.array([x[1] // _STRETCH for x in plan], pa.int64()), "times": lists}))
+    blocks = [-(-n // block) for n in sizes]
+    times = schedule(spark, names, blocks, rates(target))
     # Number the documents of each source without bringing a source together: rows are numbered within
     # buckets of bounded size, and buckets are offset by the rows in those before.
     buckets = spark.createDataFrame(pa.table({"s": pa.array(names, pa.string()), "buckets": pa.array([max(1, -(-n // _BUCKET)) for n in sizes], pa.int64())}))
-    dealt = rows.join(F.broadcast(buckets), "s").withColumn("bucket", F.pmod("order", "buckets")).drop("buckets")
+    dealt = rows.join(_beside(buckets, len(names)), "s").withColumn("bucket", F.pmod("order", "buckets")).drop("buckets")
     before = W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = durable(dealt.groupBy("s", "bucket").agg(F.count("*").alias("c")).withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
     numbered = dealt.withColumn("no", F.row_number().over(W.partitionBy("s", "bucket").orderBy("order", "doc.doc_id"))).join(starts, ["s", "bucket"])
     numbered = numbered.withColumn("no", F.col("no") - 1 + F.col("start")).withColumn("j", F.floor(F.col("no") / block))
-    # Eight bytes for each block of documents.
-    met = numbered.join(F.broadcast(times), (F.col("s") == F.col("t")) & (F.floor(F.col("j") / _STRETCH) == F.col("stretch")))
+    met = numbered.join(_beside(times, sum(blocks)), (F.col("s") == F.col("t")) & (F.floor(F.col("j") / _STRETCH) == F.col("stretch")))
     time = F.get("times", (F.col("j") % _STRETCH).cast("int"))
     return met.select("doc", "no", time.alias("mix_block")).select("doc.*", "mix_block", (F.col("mix_block") * block + F.col("no") % block).alias("mix_place"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orefield.llm import mixing, packing, queries, toxicity
 from orefield.llm.html_text import extract, html_text
-from orefield.llm.topk_search import products, topk_search
+from orefield.llm.topk_search import ordered, products, topk_search
 
 from ..oracle import SF
 from . import cases
@@ -67,8 +67,14 @@ def test_topk_equals_brute_force_with_odd_vectors(spark):
         best = sorted((-sum(a * b for a, b in zip(q[1], v, strict=True)), i) for i, v in good if i != q[0] and len(v) == len(q[1]))[:3]
         want += [(q[0], k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert cases.plain((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == cases.plain(want)
-    big = np.array([[2**40, 1]]), np.array([[2**40, 1]])
+    big = np.array([[2.0**40, 1]]), np.array([[2.0**40, 1]])
     assert products(*big)[0, 0] == 2**80 + 1
+    assert products(np.array([[1.5e308, -0.3]]), np.array([[1.0, 1.0]]), 256)[0, 0] == int(1.5e308) * 2**16 + -77 * 256
+    v = [-(2**70), -(2**63), -1, 0, 5, 2**64, 2**64 + 1, 2**900]
+    assert sorted(v, key=ordered) == v
+    huge = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e16, 2.0]), (2, [1e16, 3.0]), (3, [1e300, 0.0]), (4, [-1e16, 0.0])], "vec_id bigint, embedding array<double>")
+    found = topk_search(huge, F.col("vec_id") == 0, 4, shard=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(3, 2**63 - 1), (2, 2**63 - 1), (1, 2**63 - 1), (4, -(2**63))]
 
 
 def test_html(spark):
@@ -188,6 +194,25 @@ def test_mix_takes_thousands_of_sources(spark):
     assert sorted(r.doc_id for r in found) == list(range(9000)) and sorted(r.mix_place for r in found) == list(range(9000))
 
 
+def test_large_schedules_are_joined(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, "a").when(F.col("id") % 3 == 0, "b").alias("source"))
+    small = cases.plain(mixing.mix(docs, block=2).collect())
+    monkeypatch.setattr(mixing, "SMALL", -1)
+    assert "BroadcastHashJoin" not in mixing.mix(docs, block=2)._jdf.queryExecution().optimizedPlan().toString() and cases.plain(mixing.mix(docs, block=2).collect()) == small
+
+
+def test_the_mixing_query_keeps_every_document_in_its_place(spark):
+    found = queries.op8_mix_sources(spark, SF).orderBy("mix_place").collect()
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.source for r in found} == docs and len({r.mix_place for r in found}) == len(docs)
+    sizes = Counter(docs.values())
+    names = sorted(sizes, key=lambda x: x or "")
+    blocks, turn = [-(-sizes[s] // mixing.BLOCK) for s in names], []
+    for i in mixing.order(blocks, mixing.rates([sizes[s] ** 0.5 for s in names])):
+        turn.append(names[i])
+    assert all(turn[r.mix_block] == r.source for r in found)
+
+
 def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError):
