@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm.common import durable, packed, shared_folder, table
+from orefield.llm.common import durable, freed, shared_folder, table
 from orefield.llm.line_dedup import line_dedup
 from orefield.llm.mixing import mix
-from orefield.llm.near_dedup import near_duplicates
-from orefield.llm.packing import PART, pack, tokenised_pieces
+from orefield.llm.near_dedup import near_classes
+from orefield.llm.packing import pack, tokenised_pieces
 from orefield.llm.queries import word_tokenizer
 from orefield.llm.toxicity import toxicity
 
@@ -26,51 +27,79 @@ from orefield.llm.toxicity import toxicity
 REJECT = 0.5
 
 
-def named(docs: DataFrame) -> list[Column]:
-    """The columns of docs, whatever their names hold."""
-    return [F.col(f"`{c}`") for c in docs.columns]
+def numbered(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with its columns but those used renamed to numbers, so that none meets a column that an operator adds."""
+    return docs.toDF(*(c if c in used else f"c{i}" for i, c in enumerate(docs.columns)))
+
+
+def row_places(docs: DataFrame) -> DataFrame:
+    """docs with `at`, the file and place of each row: its key, the same whenever it is read. Rows from elsewhere are written first."""
+    try:
+        return docs.withColumn("at", F.struct("_metadata.file_name", "_metadata.row_index"))
+    except AnalysisException:  # not read from files
+        return durable(docs.withColumn("at", F.struct(F.lit("").alias("file_name"), F.monotonically_increasing_id().alias("row_index"))))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under REJECT. Null and empty texts stay."""
-    return toxicity(docs, table(spark, sf_dir, "labels"), threshold=REJECT).filter("predicted = 0").select(*named(docs))
+    """Documents whose toxicity is under REJECT. Null and empty texts stay.
+
+    Equal texts share their fate; an empty table stays empty. Columns of any name are returned as they are.
+    """
+    plain = numbered(docs, "doc_id", "text")
+    return toxicity(plain, table(spark, sf_dir, "labels"), threshold=REJECT).filter("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines that ten or more share; n_chars follows the text. A document may become empty."""
+    """All documents without the lines that ten or more share; n_chars follows the text. A document may become empty.
+
+    Repeated rows are documents of their own and count as often as they stand there. Null texts stay null; an empty
+    table stays empty. Columns of any other name are returned as they are.
+    """
+    plain = numbered(docs, "doc_id", "text", "n_chars")
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    out = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return line_dedup(docs).select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
+    out = {"text": text, "n_chars": F.when(changed, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else text}
+    return line_dedup(plain).select(*(out[c].alias(c) if c in out else c for c in plain.columns)).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): that of the smallest doc_id. Of rows that share it, one.
+    """One row of each group of near duplicates (five words, 0.8): that of the smallest doc_id; of rows that share it, or have none, the first.
 
-    Documents without words have no duplicates and stay. Of rows without doc_id, those that are linked to a
-    document with one go; the others stay, equal texts once.
+    Rows without words have no duplicates and stay. Rows that share a doc_id are judged each by its own text. An empty
+    table stays empty. Columns of any name are returned as they are.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    doc_id = F.col("doc_id").cast("bigint")
-    keyed = docs.select(packed(docs).alias("doc"), doc_id.alias("id"), F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("same"))
-    left = keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return left.dropDuplicates(["id", "same"]).select("doc.*")
+    plain = row_places(numbered(docs, "doc_id", "text"))
+    found = near_classes(plain.select("doc_id", "text", "at"), key=F.col("at"))
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    first = found.filter("class_id is not null").groupBy("class_id").agg(F.min(place).alias("x")).select("x.key")
+    kept = durable(first.unionByName(found.filter("class_id is null").select("key")))
+    freed(spark)
+    return plain.join(kept, F.col("at") == F.col("key"), "left_semi").drop("at").toDF(*docs.columns)
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix: sources weighed by the square root of their sizes."""
-    return mix(docs).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*named(docs))
+    """All documents, written in the order of the mix: sources weighed by the square root of their sizes.
+
+    A null source is a source; repeated rows and ties stand in any order. An empty table stays empty. Columns of any
+    name are returned as they are.
+    """
+    plain = numbered(docs, "doc_id", "source")
+    return mix(plain).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*plain.columns).toDF(*docs.columns)
 
 
 def packed_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of 4096 over all documents, packed by stretches of the order in which docs were written."""
-    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("bigint")
-    try:
-        placed = docs.select("doc_id", "text", (F.coalesce(number, F.lit(0)) * PART * (1 << 16) + F.col("_metadata.row_index")).alias("place"))
-    except AnalysisException:  # not read from files
-        placed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("place"))
-    pieces = durable(tokenised_pieces(placed, word_tokenizer(), carry=("place",)))  # else tokenised once more for their number
-    return pack(pieces, window="place").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """Token sequences of 4096 over all documents, packed by stretches of PART documents in the order in which they were written.
+
+    Null texts count as empty; repeated rows are packed each; an empty table gives no rows. Of docs only doc_id and text matter.
+    """
+    rows = row_places(docs.select("doc_id", "text"))
+    # A number for each file, not for each row, reaches the driver.
+    files = rows.groupBy("at.file_name").count().orderBy("file_name").collect()
+    before = [0, *accumulate(r["count"] for r in files)]
+    starts = spark.createDataFrame([(r["file_name"], x) for r, x in zip(files, before, strict=False)], "file_name string, before bigint")
+    pieces = tokenised_pieces(rows, word_tokenizer(), carry=("at",)).join(starts, F.col("at.file_name") == F.col("file_name"))
+    placed = durable(pieces.withColumn("place", F.col("before") + F.col("at.row_index")).drop("at", "file_name", "before"))  # else tokenised once more for their number
+    return pack(placed, window="place").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
