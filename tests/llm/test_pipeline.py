@@ -41,3 +41,37 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
             if k < 4:
                 assert docs.columns == cases.documents(spark, []).columns
         assert docs.isEmpty() == (not rows)
+
+
+OWN = "score predicted held_out kept_text n_lines n_dropped mix_block mix_place at key class_id component_id sequence_id place part".split()
+
+
+def test_stages_keep_columns_of_any_name_and_rows_of_equal_ids(spark, tmp_path):
+    texts = [*cases.texts(), (5, cases.passage(1)), (5, cases.passage(2)), (3, cases.passage(1) + " x"), (None, cases.passage(2)), (None, cases.passage(77)), (None, cases.passage(77))]
+    docs = spark.createDataFrame([(d, t, "ab"[i % 2], *[1000 + i] * len(OWN)) for i, (d, t) in enumerate(texts)], "doc_id bigint, text string, source string, " + ", ".join(f"{c} int" for c in OWN))
+    now, rows = written(docs.repartition(3), str(tmp_path / "0")), [(d, t, 1000 + i) for i, (d, t) in enumerate(texts)]
+    for k, (name, stage) in enumerate(p.STAGES[:4]):
+        out = stage(spark, now, SF)
+        assert out.columns == docs.columns
+        now = written(out, str(tmp_path / str(k + 1)))
+        found = now.collect()
+        assert all({r[c] for c in OWN} == {r.score} for r in found)
+        if name == "line_dedup":
+            kept = cases.lines_dropped([(d, t) for d, t, _ in rows])
+            rows = [(d, t if not x[3] else x[1], n) for (d, t, n), x in zip(rows, kept, strict=True)]
+        elif name == "near_dedup":
+            classes = cases.near_row_classes([(d, t) for d, t, _ in rows], 5, 80)
+            best = {}
+            for (d, t, n), c in zip(rows, classes, strict=True):
+                if c is not None:
+                    best.setdefault(c, []).append((d is None, d or 0, n))
+            # Of a class one row, of the smallest doc_id; which of those that share it is open.
+            assert all(sum(r.score in {n for *_, n in x} for r in found) == 1 and {r.doc_id for r in found if r.score in {n for *_, n in x}} == {None if min(x)[0] else min(x)[1]} for x in best.values())
+            left = {r.score for r in found}
+            assert all(n in left for (_, _, n), c in zip(rows, classes, strict=True) if c is None)
+            rows = [r for r in rows if r[2] in left]
+        assert cases.plain((r.doc_id, r.text, r.score) for r in found) == cases.plain(rows)
+    e = p.packed_in_order(spark, now, SF).collect()
+    assert cases.plain((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in e) == cases.plain(pieces_of([(d, t) for d, t, _ in rows]))
+    gapless(e)
+    assert p.drop_near_copies(spark, spark.createDataFrame([(3, "y"), (5, "y"), (5, "x")], "doc_id bigint, text string"), SF).count() == 2
