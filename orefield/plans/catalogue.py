@@ -435,6 +435,11 @@ def distinct_exact_window(spark, sf_dir):
     return streams.exact_sliding(events(spark, sf_dir))
 
 
+@query(f"{_WINDOWS} select strftime(start + interval '3 days', '%Y-%m-%d %H:%M:%S') as time, count(distinct user_id) as n from w group by start")
+def distinct_by_window_end(spark, sf_dir):
+    return streams.stamped(streams.exact_sliding(events(spark, sf_dir))).select("time", "n")
+
+
 _FPP = 0.01
 _HASHES = sketches.bloom_size(1, _FPP)[1]
 
@@ -538,7 +543,7 @@ def bfr_round_metrics(spark, sf_dir):
 
 @query()
 def bfr_assignments(spark, sf_dir):
-    return _bfr(spark, sf_dir).result()
+    return _bfr(spark, sf_dir).result().orderBy("point_id")
 
 
 # Graphs: sellers that share more reviewers than chance gives, by 3.5 standard deviations.

@@ -78,6 +78,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Pairs (a, b, ..) as CSV with a header, in the order of both."""
+    write_csv(pairs.orderBy("a", "b"), path)
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     """A one-column DataFrame of lines."""
     lines.write.mode("overwrite").text(path)

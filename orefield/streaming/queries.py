@@ -46,6 +46,11 @@ def with_empty_windows(windows: DataFrame, slide: str = SLIDE, fill: dict | None
     return every.join(windows, "start", "left").fillna(fill if fill is not None else {"n_estimate": 0.0})
 
 
+def stamped(windows: DataFrame, window: str = WINDOW) -> DataFrame:
+    """windows with `time`: when each window ends, as text."""
+    return windows.withColumn("time", F.date_format(F.col("start") + F.expr(f"interval {window}"), "yyyy-MM-dd HH:mm:ss"))
+
+
 def drained(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int, str], None], folder: str | None = None, every: str | None = None) -> str:
     """Run a stream over what is available, or for ever with a batch `every` so often ('5 seconds'); keep(batch, number, folder) stores each micro-batch.
 

@@ -236,6 +236,12 @@ def test_factorisation_takes_ids_of_any_size(spark):
     assert len(p) == 3 and all(0 <= x.stars <= 5 for x in p)
 
 
+def test_pairs_are_written_in_order(spark, tmp_path):
+    files.write_pairs(spark.createDataFrame([(2, 3, 0.5), (1, 9, 0.1), (1, 2, 0.9)], "a int, b int, sim double").repartition(3), str(tmp_path / "p"))
+    lines = [x for f in sorted((tmp_path / "p").glob("part-*")) for x in f.read_text().splitlines() if x[0] != "a"]
+    assert lines == ["1,2,0.9", "1,9,0.1", "2,3,0.5"]
+
+
 def test_neighbours_are_ranked_on_both_sides(spark):
     p = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9), (2, 3, 0.5)], "a int, b int, sim double")
     assert sorted(map(tuple, similarity.neighbours(p, 1).collect())) == [(1, 3, 0.9, 1), (2, 1, 0.5, 1), (3, 1, 0.9, 1)]
