@@ -44,6 +44,20 @@ def test_packing_on_odd_rows(spark):
     assert packing.best_fit_packing(cases.documents(spark, []), queries.word_tokenizer()).isEmpty()
 
 
+def test_packing_query_equals_the_plain_tokenizer_on_the_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = queries.op1_best_fit_packing(spark, SF).collect()
+    assert cases.plain((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == cases.plain(pieces_of(docs))
+    assert gapless(got) <= packing.lower_bound(np.array([r.length for r in got])) + 1
+
+
+def test_very_long_documents_leave_one_piece_to_pack(spark):
+    rows = [(i, "word " * n) for i, n in enumerate((4096 * 9, 5, 4095, 4096 * 3 + 7, 4094))]
+    got = packing.best_fit_packing(cases.documents(spark, rows), queries.word_tokenizer(), part=2).collect()
+    assert cases.plain((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == cases.plain(pieces_of(rows))
+    assert gapless(got) == packing.lower_bound(np.array([r.length for r in got])) and all(r.offset == 0 for r in got if r.length == 4096)
+
+
 def test_packing_over_many_partitions_stays_near_the_bound(spark):
     got = packing.best_fit_packing(spark.read.parquet(f"{SF}/documents.parquet"), queries.word_tokenizer(), part=40).collect()
     assert gapless(got) <= packing.lower_bound(np.array([r.length for r in got])) * 1.02 + 1
@@ -112,14 +126,14 @@ def test_words_of_signs_alone_are_read_if_likely():
     assert toxicity.token_words("90210", r) == [] and toxicity.token_words("|", r) == [] and toxicity.token_words("--", r) == []
 
 
-def test_toxicity_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf,least", [("/root/testdata/sf0.01", 0.95), ("/root/testdata/sf0.1", 0.98)])
+def test_toxicity_held_out_accuracy(spark, sf, least):
     got = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     held = got[got.held_out]
     assert all((zlib.crc32(str(d).encode()) % 4 == 2) == h for d, h in zip(got.doc_id, got.held_out, strict=True))
     rank = held.score.rank()
     n1 = int(held.toxic.sum())
-    assert (rank[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(held) - n1)) > 0.95
+    assert (rank[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(held) - n1)) > least
     assert (got.predicted == (got.score >= 0.3)).all() and got.score.between(0, 1).all()
 
 

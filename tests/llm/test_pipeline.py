@@ -1,6 +1,8 @@
 import corpus_pipeline as p
 from pyspark.sql import functions as F
 
+from orefield.llm.toxicity import toxicity
+
 from ..oracle import SF
 from . import cases
 from .test_other import gapless, pieces_of
@@ -16,6 +18,8 @@ def test_stages_equal_brute_force_one_after_the_other(spark, tmp_path):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     a = written(p.drop_toxic(spark, docs, SF), str(tmp_path / "a"))
     kept = {r.doc_id for r in a.collect()}
+    scored = toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert kept == {r.doc_id for r in scored.filter(F.col("score") < p.REJECT).collect()}
     gone = {r.doc_id for r in docs.collect()} - kept
     assert sum(labels.get(d, 1) for d in gone) >= 0.8 * len(gone) and all(x.columns == docs.columns for x in (a,))
     b = written(p.drop_common_lines(spark, a, SF), str(tmp_path / "b"))
