@@ -30,7 +30,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> Data
 
     The hashes of all lines are written once, sorted within each document, so that repeats stand side by side
     and very long documents cost no more for each line than short ones. Counting takes one row per document and
-    distinct line and combines before the shuffle; the dropped hashes then find their lines by an equi-join
+    distinct line and combines before the shuffle; the dropped hashes, written by themselves, then find their lines by an equi-join
     whose hot keys (a line in a third of all documents) are only rows of a few numbers and can be split;
     the texts themselves are shuffled once, by row key, with the places to drop.
     """
@@ -42,7 +42,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_points: int = 1) -> Data
     lines = durable(docs.select(*row, F.sort_array(hashes).alias("hashes")))
     before = lambda i, c: F.get(F.col("hashes"), i - 1)[c]
     once = lines.select(F.inline(F.filter("hashes", lambda x, i: (i == 0) | (before(i, "a") != x["a"]) | (before(i, "b") != x["b"]))))
-    common = once.groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b")
+    # Written, so that the join with it can split a line that very many documents share.
+    common = durable(once.groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b"))
     places = (
         lines.select(*key, F.inline("hashes"))
         .join(common, ["a", "b"])
