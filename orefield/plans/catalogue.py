@@ -522,6 +522,22 @@ def _numbered(spark, sf_dir):
     return points(spark, sf_dir).withColumnRenamed("vec_id", "point_id")
 
 
+_TURN = """a{0} as (select vec_id, x, cluster from (select p.vec_id, p.x, c.cluster, row_number() over (partition by p.vec_id order by
+        list_sum(list_transform(range(1, {2}), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), c.cluster) as r from points p, c{0} c) where r = 1),
+    m{0} as (select cluster, pos, count(*) as n, avg(v) as m from (select cluster, unnest(x) as v, unnest(range({3})) as pos from a{0}) group by 1, 2),
+    c{1} as (select cluster, max(n) as n, list(m order by pos) as x from m{0} group by 1)"""
+
+
+@query(
+    f"+ c0 as (select vec_id as cluster, x from points where vec_id < 4), {', '.join(_TURN.format(i, i + 1, DIMENSIONS + 1, DIMENSIONS) for i in range(3))} select cast(cluster as int) as cluster, n, cast(pos as int) as pos, round(v, 4) as v from (select cluster, n, unnest(x) as v, unnest(range({DIMENSIONS})) as pos from c3)",
+    ("points",),
+)
+def kmeans_three_turns(spark, sf_dir):
+    found = clustering.kmeans(points(spark, sf_dir), _centres(spark, sf_dir), DIMENSIONS, tolerance=-1.0, turns=3)
+    rows = spark.createDataFrame([(c.id, c.n, c.centre) for c in found], "cluster int, n bigint, centre array<double>")
+    return rows.select("cluster", "n", F.posexplode("centre").alias("pos", "v")).withColumn("v", F.round("v", 4))
+
+
 @query()
 def kmeans_fit(spark, sf_dir):
     p = _numbered(spark, sf_dir)
