@@ -362,7 +362,7 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     more = _linked(_open_blocks(members, comps, leaf), sets, shingle, percent)
     comps = components(comps.select(F.col("vid").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = vertex.join(comps, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-    names = named.groupBy("comp").agg(F.min("low").alias("component_id"))
+    names = durable(named.groupBy("comp").agg(F.min("low").alias("component_id")))  # so that the join with it can split a component
     classes = named.join(names, "comp").select(*same, F.col("comp").alias("class_id"), "component_id")
     met = rows.select("doc_id", *same, "key").join(classes, same, "left")
     return met.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", *(["key"] if key is not None else []))
