@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, freed, joined, mixed, slices, whole, window_hashes, word_hashes, words
+from .common import durable, freed, joined, mixed, slices, trimmed, whole, window_hashes, word_hashes, words
 
 K = 13
 BLOCK = 8 << 20
+PART = 96 << 20  # bytes of text whose windows a task holds
+SORTED = 4 << 20  # windows that it sorts at a time
 
 _FOUND = "target bigint, data binary"
 _PATHS = "doc_id bigint, tag bigint, start int, n int, src_id bigint, src_tag bigint, src_start int"
@@ -142,7 +144,7 @@ def _sent(k: int, keys: list[int], seed: int):
 _SENT = f"bucket bigint, {_FOUND}, ids binary, tags binary, counts binary, gaps binary, high binary, low binary"
 
 
-def _met(keys: list[int]):
+def _met(keys: list[int], most: int):
     """Of each bucket: windows whose hash a smaller document also has, with that document's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,21 +167,28 @@ def _met(keys: list[int]):
                 h = np.frombuffer(get("high"), np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(get("low"), np.uint32)
                 held.setdefault(int(b[i]), []).append((h, np.repeat(ids, counts), np.repeat(tags, counts), pos))
         for key in list(held):
-            h, ids, tags, pos = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            head = np.ones(len(s), bool)
-            head[1:] = s[1:] != s[:-1]
-            alone = head & np.append(head[1:], True)
-            order, head = order[~alone], head[~alone]
-            if not len(order):
-                continue
-            group = np.cumsum(head) - 1
-            order = order[np.lexsort((ids[order], group))]
-            lead = order[np.flatnonzero(head)][group]
-            later = ids[order] > ids[lead]
-            mine, theirs = order[later], lead[later]
-            yield _bundles(ids[mine], tags[mine], pos[mine], ids[theirs], tags[theirs], pos[theirs], keys)
+            pieces = held.pop(key)
+            turns = -(-sum(len(x[0]) for x in pieces) // most)
+            # By ranges of the hash within the bucket, so that what is sorted and looked up stays small.
+            of = [(mixed(x[0]) >> np.uint64(40)) * np.uint64(turns) >> np.uint64(24) for x in pieces] if turns > 1 else []
+            for turn in range(turns):
+                at = [o == turn for o in of] if turns > 1 else [slice(None)] * len(pieces)
+                h, ids, tags, pos = (np.concatenate(x) for x in zip(*(tuple(c[i] for c in x) for x, i in zip(pieces, at, strict=True)), strict=True))
+                order = np.argsort(h, kind="stable")
+                s = h[order]
+                head = np.ones(len(s), bool)
+                head[1:] = s[1:] != s[:-1]
+                alone = head & np.append(head[1:], True)
+                order, head = order[~alone], head[~alone]
+                if not len(order):
+                    continue
+                group = np.cumsum(head) - 1
+                order = order[np.lexsort((ids[order], group))]
+                lead = order[np.flatnonzero(head)][group]
+                later = ids[order] > ids[lead]
+                mine, theirs = order[later], lead[later]
+                yield _bundles(ids[mine], tags[mine], pos[mine], ids[theirs], tags[theirs], pos[theirs], keys)
+        trimmed()
 
     return run
 
@@ -208,10 +217,11 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_paths(texts: DataFrame, k: int, seed: int) -> DataFrame:
     """Compacted paths of windows that a smaller document seems to have too (by hash), for texts (doc_id, tag, text)."""
     spark = texts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     keys = _spread(spark, n)
     sent = texts.mapInArrow(_sent(k, keys, seed), _SENT).repartition(n, "bucket")
-    found = sent.mapInArrow(_met(keys), _FOUND).repartition(n, "target")
+    found = sent.mapInArrow(_met(keys, SORTED), _FOUND).repartition(n, "target")
     return durable(found.mapInArrow(_paths, _PATHS))
 
 
