@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -35,10 +36,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+ROWS = 2000  # whole texts that travel to Python workers at a time while a table is written
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder. Lost executors re-read it instead of re-running what lies upstream."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written once to the shared folder. Lost executors re-read it instead of re-running what lies upstream.
+
+    While it is planned and written, Arrow batches have at most ROWS rows: buffers of ten thousand whole texts would stay
+    in the native memory of executors.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(ROWS, int(before)) if int(before) > 0 else ROWS)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def packed(df: DataFrame, *without: str) -> Column:
@@ -58,7 +73,7 @@ def trimmed() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has about `most` bytes in each (a row more at least)."""
     for batch in batches:
         if not batch.num_rows:
@@ -177,6 +192,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more, before the next large shuffle is written."""
+    """Let Spark delete shuffle files that nothing refers to any more, before the next large shuffle is written. Its cleaner works beside us, so it gets a moment."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)

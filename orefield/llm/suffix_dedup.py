@@ -443,7 +443,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, w
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = durable(source.mapInArrow(_sampled(k, window, min_words), "doc_id bigint, grams array<bigint>, places array<int>, run_grams array<bigint>, run_places array<int>, run_words array<int>, size bigint, z binary").withColumn("row", F.monotonically_increasing_id()))
     # From here on only texts that may share something.
-    rows = durable(rows.join(_kept_suffixes(rows), "row", "left").filter("kept is not null or size(run_grams) > 0").drop("grams", "places"))
+    kept = _kept_suffixes(rows)
+    freed(docs.sparkSession)
+    rows = durable(rows.join(kept, "row", "left").filter("kept is not null or size(run_grams) > 0").drop("grams", "places"))
+    del kept
     freed(docs.sparkSession)
     blocks = [*(f"r{i}" for i in range(len(STEPS))), *(f"l{i}" for i in range(len(STEPS)))]
     schema = "row bigint, doc_id bigint, place int, gram bigint, " + ", ".join(f"{b} bigint" for b in [*blocks, "around"])
