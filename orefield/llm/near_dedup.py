@@ -32,6 +32,8 @@ SHINGLE, PERCENT = 5, 80
 DEPTH, LEAF, BINS = 4, 200, 256
 BYTES = 128 << 20  # of text that a task holds of a block; a leaf with more is dealt into blocks like one with many members
 FIRST = 2  # trees whose leaves are compared first, so that the other trees meet groups of copies already connected
+BITS = 15  # a bitmap has 2^BITS bits
+BITMAPS = 64 << 20  # bytes of bitmaps that are broadcast at most
 
 
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -127,6 +129,18 @@ def _leaves(sets: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
     return durable(members)
 
 
+def _among(df: DataFrame, vids: DataFrame, most: int = BITMAPS) -> DataFrame:
+    """The rows of df whose vid is one of `vids`, without a shuffle of df: vids become exact bitmaps, which are broadcast. If those have more than `most` bytes, a join."""
+    place = lambda c: F.shiftright(c, BITS)
+    bits = vids.select("vid", place("vid").alias("place")).repartition("place").groupBy("place").agg(F.bitmap_construct_agg(F.col("vid").bitwiseAND((1 << BITS) - 1)).alias("bits"))
+    bits = durable(bits)
+    if bits.count() << BITS - 3 > most:
+        return df.join(vids.select("vid").distinct(), "vid", "left_semi")
+    at = F.col("vid").bitwiseAND((1 << BITS) - 1)
+    byte = F.conv(F.hex(F.col("bits").substr((F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return df.join(F.broadcast(bits), (place("vid") == F.col("place")) & (F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1), "left_semi")
+
+
 def _alike(n: np.ndarray, sketch: np.ndarray, n1: int, sketch1: np.ndarray, percent: int) -> np.ndarray:
     """Which sets may be similar enough to one: by size, and by the share of equal bins (4.5 standard deviations of leeway)."""
     ok = (100 * np.minimum(n, n1) >= percent * np.maximum(n, n1)) & (n > 0)
@@ -279,14 +293,14 @@ def _exact(k: int, percent: int):
 def _linked(blocks: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what links connect within each block (node, kind, i, j) of members (vid, comp).
 
-    Sketches go to all blocks of several components; full texts only to blocks, and for members, with some hope.
+    Sketches go to all blocks of several components; full texts only to blocks, and for members, with some hope. Texts of others stay where they are.
     """
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK, "vid")
     schema = "node bigint, kind string, i bigint, j bigint, vid bigint"
     some = durable(dealt(blocks.select(*_BLOCK, "vid", "comp").join(sets.select("vid", "n", "sketch"), "vid")).mapInArrow(_hopeful(percent), schema))
     freed(sets.sparkSession)
-    return durable(dealt(some.join(sets.select("vid", "size", "z"), "vid")).mapInArrow(_exact(k, percent), "a bigint, b bigint"))
+    return durable(dealt(some.join(_among(sets.select("vid", "size", "z"), some), "vid")).mapInArrow(_exact(k, percent), "a bigint, b bigint"))
 
 
 def _first_blocks(members: DataFrame, leaf: int) -> DataFrame:
@@ -355,8 +369,8 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     known = rows.filter("n > 0")
     # Equal texts are one vertex: the row with the smallest number stands for them. Equal sets of other texts meet in every tree.
     vertex = durable(known.groupBy(*same).agg(F.min("row").alias("vid"), F.min("doc_id").alias("low")))
-    sets = known.join(vertex.select("vid"), F.col("row") == F.col("vid"), "left_semi").withColumnRenamed("row", "vid")
-    members = _leaves(sets, trees, depth, leaf)
+    sets = known.withColumnRenamed("row", "vid")
+    members = _leaves(_among(sets, vertex), trees, depth, leaf)
     comps = components(_linked(_first_blocks(members.filter(F.col("tree") < FIRST), leaf), sets, shingle, percent))
     freed(docs.sparkSession)
     more = _linked(_open_blocks(members, comps, leaf), sets, shingle, percent)

@@ -90,6 +90,32 @@ def test_near_duplicates_equal_brute_force_on_the_table(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_a_hopeful_mate_are_not_shuffled(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 62, 4000))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, texts[7] + " more"), (61, texts[9])], "doc_id bigint, text string")
+    before = shuffled(spark)
+    got = near.near_duplicates(docs, shingle=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got if not r.kept} == {60: 7, 61: 9}
+    assert shuffled(spark) - before < sum(map(len, texts)) / 5  # squeezed they have nearly half
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_among_keeps_the_rows_of_the_ids_and_no_others(spark, most):
+    ids = [0, 1, 7, 8, 32767, 32768, 65535, 65536, 1 << 33, (1 << 33) + 9, (5 << 33) + 40000]
+    df = spark.createDataFrame([(i, str(i)) for x in ids for i in (x, x + 2)], "vid bigint, t string")
+    got = near._among(df, spark.createDataFrame([(i,) for i in [*ids, *ids, 1 << 50]], "vid bigint"), most).collect()
+    assert sorted((r.vid, r.t) for r in got) == sorted((i, str(i)) for x in ids for i in (x, x + 2) if i in ids)
+
+
 def test_near_copies_at_the_threshold_are_linked_and_those_below_are_not(spark):
     r = np.random.default_rng(8)
     rows = []
