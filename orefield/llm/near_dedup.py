@@ -34,6 +34,7 @@ BYTES = 128 << 20  # of text that a task holds of a block; a leaf with more is d
 FIRST = 2  # trees whose leaves are compared first, so that the other trees meet groups of copies already connected
 BITS = 15  # a bitmap has 2^BITS bits
 BITMAPS = 64 << 20  # bytes of bitmaps that are broadcast at most
+NODES = 1 << 20  # large nodes that are broadcast at most
 
 
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -113,16 +114,18 @@ def _blocks_of(count: Column, size: Column, leaf: int) -> Column:
 def _leaves(sets: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
     """tree, node, vid, size, count, bytes: the members of the leaves with two members at least, with their texts' sizes and both sums."""
     paths = sets.select("vid", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * depth + 1, depth))).alias("tree", "p"))
-    out, big = [], None
+    out, big, few = [], None, False
     for level in range(depth):
         rows = paths.select("tree", "vid", "size", F.col("p")[level].alias("node"), *([F.col("p")[level - 1].alias("up")] if level else []))
         if big is not None:
-            rows = rows.join(big.select(F.col("node").alias("up")), "up", "left_semi").drop("up")
+            up = big.select(F.col("node").alias("up"))
+            rows = rows.join(F.broadcast(up) if few else up, "up", "left_semi").drop("up")
         counts = durable(rows.groupBy("node").agg(F.count("*").alias("count"), F.sum("size").alias("bytes")).filter("count > 1"))
         big = counts.filter(_large(leaf))
         out.append(rows.join(counts if level == depth - 1 else counts.filter(~_large(leaf)), "node").select("tree", "node", "vid", "size", "count", "bytes"))
-        if level == depth - 1 or big.isEmpty():
+        if level == depth - 1 or not (many := big.count()):
             break
+        few = many <= NODES  # then rows of other nodes are not shuffled
     members = out[0]
     for x in out[1:]:
         members = members.unionByName(x)

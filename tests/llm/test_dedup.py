@@ -116,6 +116,24 @@ def test_among_keeps_the_rows_of_the_ids_and_no_others(spark, most):
     assert sorted((r.vid, r.t) for r in got) == sorted((i, str(i)) for x in ids for i in (x, x + 2) if i in ids)
 
 
+def test_members_of_small_nodes_are_not_shuffled_to_find_the_large_ones(spark, monkeypatch):
+    path = lambda i, level: 7 * level if i < 30 and level < 2 else 1000 * (level + 1) + i  # noqa: E731  one large node on two levels
+    sets = spark.createDataFrame([(i, 10, [path(i, level) for level in range(4)]) for i in range(900)], "vid bigint, size bigint, path array<bigint>")
+    took, found = [], []
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        for most in (near.NODES, 0):
+            monkeypatch.setattr(near, "NODES", most)
+            at = shuffled(spark)
+            found.append(sorted(map(tuple, near._leaves(sets, 1, 4, 20).collect())))
+            took.append(shuffled(spark) - at)
+    finally:
+        spark.conf.set(threshold, before)
+    assert found[0] == found[1] and took[0] < 0.8 * took[1]
+
+
 def test_near_copies_at_the_threshold_are_linked_and_those_below_are_not(spark):
     r = np.random.default_rng(8)
     rows = []
