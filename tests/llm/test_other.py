@@ -91,6 +91,26 @@ def test_topk_equals_brute_force_with_odd_vectors(spark):
     assert [(r.vec_id, r.score) for r in found] == [(3, 2**63 - 1), (2, 2**63 - 1), (1, 2**63 - 1), (4, -(2**63))]
 
 
+def test_topk_shuffles_queries_and_lists_but_no_matrix(spark):
+    m = np.random.default_rng(6).normal(0, 0.125, (4000, 64)).astype(np.float32)
+    m[1000:1400] = m[0]  # copies: ties by vec_id, within tiles and across them
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id bigint, embedding array<float>").repartition(8).localCheckpoint()
+    written = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    before = written()
+    got = topk_search(table, F.col("vec_id") % 50 == 0).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+    assert 0 < sum(n for i, n in written().items() if i not in before) < m.nbytes / 2
+    v = np.floor(256 * m.astype(float)).astype(np.int64)
+    want = []
+    for q in range(0, 4000, 50):
+        s = v @ v[q]
+        want += [(q, n + 1, int(c), int(s[c])) for n, c in enumerate([c for c in np.lexsort((np.arange(4000), -s)) if c != q][:5])]
+    assert cases.plain(got) == cases.plain(want)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><h1>A &amp; B</h1><p>one<p>two <b>bold</b><ul><li>x<li>y</ul><ol start=3><li>z</ol><table><tr><th>k<th>val<tr><td>long key<td>1</table><div style='display:none'>no</div><span hidden>no</span><pre>a\n  b</pre><script>no</script>end"
     assert html_text(page).split("\n") == ["A & B", "", "one", "", "two bold", "", "- x", "- y", "", "3. z", "", "k         val", "long key  1", "", "a", "  b", "", "end"]
