@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, written
 
 
 def baskets(pairs: DataFrame, key: str, item: str, min_size: int = 0) -> DataFrame:
@@ -61,6 +61,7 @@ def fpgrowth(sets: DataFrame, support: int, size: int | None = None) -> DataFram
     """The same by FP-growth. The threshold is a fraction; half a basket less than support/N rounds to the support exactly."""
     from pyspark.ml.fpm import FPGrowth
 
+    sets = written(sets)  # fit reads them three times
     n = sets.count()
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / max(n, 1))).fit(sets)
     found = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq").withColumn("size", F.size("items"))
